@@ -198,7 +198,7 @@ class ByteGRU:
             grads += [gx, gu, gb]
         return loss, [*grads, gv, do.sum((0, 1))]
 
-    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 400, batch: int = 256, rate: float = 0.02, seed: int = 11) -> float:
+    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 250, batch: int = 256, rate: float = 0.02, seed: int = 11) -> float:
         rng = np.random.default_rng(seed)
         ps = self.params()
         m1, m2 = [np.zeros_like(p) for p in ps], [np.zeros_like(p) for p in ps]
@@ -235,7 +235,7 @@ def train(
     lang_col: str = "lang",
     per_lang: int = 200,
     windows_per_doc: int = 40,
-    steps: int = 400,
+    steps: int = 250,
 ) -> ByteGRU | None:
     """Learn from at most per_lang * windows_per_doc windows of each language."""
     importable(docs.sparkSession)

@@ -104,25 +104,24 @@ def _valid(kind: str, m: Column) -> Column:
         return F.forall(F.split(m, r"\."), lambda p: part(p) & (tail(p) <= "255"))
     n = F.regexp_replace(m, "[^0-9]", "")
     if kind == "card":
-        return F.length(n).between(13, 19) & F.luhn_check(n)
+        return F.length(n).between(13, 19) & F.call_function("luhn_check", n)
     return F.length(n).between(9, 15)
 
 
+def _only_valid(spans: Column, kind: str) -> Column:
+    return F.filter(spans, lambda x: _valid(kind, x["m"]))
+
+
+def _named(spans: Column, kind: str, *more: str) -> Column:
+    """Spans as structs of kind, s, e and the fields named in more."""
+    return F.transform(spans, lambda x: F.struct(F.lit(kind).alias("kind"), *[x[k].alias(k) for k in ("s", "e", *more)]))
+
+
 def candidates(text: str) -> Column:
     """All proposals: array<struct<kind, s, e, m, before, after>>."""
     parts = []
     for kind, pattern in GENERATORS:
-        parts.append(
-            F.transform(
-                spans_of(text, pattern),
-                lambda x, kind=kind: F.struct(
-                    F.lit(kind).alias("kind"),
-                    x["s"].alias("s"),
-                    x["e"].alias("e"),
-                    x["m"].alias("m"),
-                ),
-            )
-        )
+        parts.append(_named(spans_of(text, pattern), kind, "m"))
     all_ = F.array_distinct(F.concat(*parts))
     empty = F.expr("cast(array() as array<struct<kind: string, s: int, e: int, m: string>>)")
     return F.when(F.col(text).rlike(ANY_GATE), all_).otherwise(empty)
@@ -272,10 +271,7 @@ def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     lists = {}
     for kind in BASE:
-        lists[kind] = F.transform(
-            F.filter(spans_of("_text", BASE_PATTERNS[kind], BASE_GATES[kind]), lambda x, kind=kind: _valid(kind, x["m"])),
-            lambda x, kind=kind: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e")),
-        )
+        lists[kind] = _named(_only_valid(spans_of("_text", BASE_PATTERNS[kind], BASE_GATES[kind]), kind), kind)
     df = df.select(*keep, "_text", F.concat(*lists.values()).alias("base"), candidates("_text").alias("_cands"))
     df = df.withColumn("_cands", F.expr(f"transform(_cands, c -> {with_features('c', '_text')})"))
     bar = "case " + " ".join(f"when c.kind = '{k}' then {v!r}D" for k, v in cut.items() if np.isfinite(v)) + " else 1e9D end"

@@ -32,9 +32,7 @@ def op2_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii_boost
 
     found = pii_boost.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [
-        F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii_boost.BASE
-    ]
+    counts = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii_boost.BASE]
     return found.select(
         "doc_id",
         *counts,
@@ -126,17 +124,6 @@ _GRAMS = (
 )
 
 ORACLES: dict[str, str] = {
-    "op4_chat_windows": """
-        with turns as (
-            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
-            union all
-            select -1, t, r, '<|im_end|><|im_start|>assistant ok' from (values (0, 'user'), (1, 'assistant')) x(t, r)
-        )
-        select conv_id, count(*) as n_turns,
-               sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
-               cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
-               sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256
-        from turns group by conv_id""",
     "op5_line_spread": """
         with base as (
             select doc_id, text, coalesce(source, '') as site from documents where text is not null
@@ -149,14 +136,14 @@ ORACLES: dict[str, str] = {
             where length(regexp_replace(trim(line, ' '), ' +', ' ', 'g'))
                   - length(replace(regexp_replace(trim(line, ' '), ' +', ' ', 'g'), ' ', '')) >= 2
             group by line having count(distinct site) >= 16
-        ), at as (
+        ), placed as (
             select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as pos,
                    unnest(string_split(text, chr(10))) as line from base
         ), judged as (
             select a.doc_id, a.pos, a.line,
                    s.line is not null and not (a.doc_id = s.first_id
                        and row_number() over (partition by a.doc_id, a.line order by a.pos) = 1) as lost
-            from at a left join spread s on a.line = s.line
+            from placed a left join spread s on a.line = s.line
         ), done as (
             select doc_id, string_agg(line, chr(10) order by pos) filter (not lost) as kept,
                    count(*) filter (lost) as removed_lines
