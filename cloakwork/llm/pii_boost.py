@@ -70,7 +70,7 @@ CUES = {
 }
 FEATURES = (
     "kind_no", "len", "digits", "letters", "uppers", "others", "distinct_chars", "luhn", "mod97", "cue", "assigned",
-    "ref_before", "hex", "groups", "at_word",
+    "ref_before", "hex", "groups", "at_word", "zero_group",
 )
 
 
@@ -156,6 +156,7 @@ def with_features(c: str, text: str) -> str:
         "hex": f"if({m} rlike '^[0-9a-fA-F]+$', 1D, 0D)",
         "groups": f"cast(size(split({m}, '[^A-Za-z0-9]+')) as double)",
         "at_word": f"if({m} rlike '(?i)\\\\bat\\\\b|@', 1D, 0D) + if({m} rlike '(?i)\\\\bdot\\\\b', 1D, 0D)",
+        "zero_group": f"if({m} rlike '(?:^|[^0-9])0+(?:[^0-9]|$)', 1D, 0D)",
     }
     return f"named_struct('kind', {c}.kind, 's', {c}.s, 'e', {c}.e, " + ", ".join(
         f"'{k}', {feats[k]}" for k in FEATURES
@@ -180,6 +181,14 @@ def _examples(seed: int = 5) -> list[tuple[str, str, str, int]]:
         n = int(bban + str(ord(cc[0]) - 55) + str(ord(cc[1]) - 55) + "00") % 97
         return f"{cc}{98 - n:02d}{bban}"
 
+    def not_luhn(n: int) -> str:
+        body = luhn(n)
+        return body[:-1] + str((int(body[-1]) + r.randint(1, 9)) % 10)
+
+    def not_iban() -> str:
+        good_one = iban()
+        return good_one[:-1] + str((int(good_one[-1]) + r.randint(1, 9)) % 10)
+
     def four(s: str, sep: str) -> str:
         return sep.join(s[i : i + 4] for i in range(0, len(s), 4))
 
@@ -196,7 +205,7 @@ def _examples(seed: int = 5) -> list[tuple[str, str, str, int]]:
         "ssn": ("ssn ", "social security number "),
     }
     good = {
-        "email": (lambda: f"{name()} (at) {name()} (dot) {r.choice(('com', 'org', 'net'))}", lambda: f"{name()}[at]{name()}.{r.choice(('com', 'de'))}", lambda: f"{name()} at {name()} dot com", lambda: f"{name()} @ {name()}.com"),
+        "email": (lambda: f"{name()} (at) {name()} (dot) {r.choice(('com', 'org', 'net'))}", lambda: f"{name()}[at]{name()}.{r.choice(('com', 'de'))}", lambda: f"{name()} (at) {name()}.{r.choice(('com', 'net'))}", lambda: f"{name()} [at] {name()} [dot] org"),
         "phone": (lambda: f"({dig(3)}) {dig(3)}-{dig(4)}", lambda: f"0{dig(2)} {dig(3)} {dig(4)}", lambda: f"0{dig(3)}/{dig(3)}-{dig(3)}", lambda: f"00 49 {dig(3)} {dig(4)} {dig(2)}", lambda: f"{dig(3)}-{dig(3)}-{dig(4)}"),
         "ip": (lambda: ":".join(hexa(4) for _ in range(8)), lambda: f"2001:db8::{hexa(4)}", lambda: f"fe80::{hexa(3)}:{hexa(4)}"),
         "card": (lambda: four(luhn(16), "."), lambda: four(luhn(16), "  "), lambda: four(luhn(16), "/")),
@@ -206,14 +215,14 @@ def _examples(seed: int = 5) -> list[tuple[str, str, str, int]]:
         "ssn": (lambda: f"{r.randint(100, 665)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}",),
     }
     bad = {
-        "email": (lambda: f"{word()} at {word()} dot {word()}", lambda: f"{word()}. @ {word()}.{word()}"),
+        "email": (lambda: f"{word()} at {word()} dot {word()}", lambda: f"{word()} at {word()} dot {word()} dot {word()}"),
         "phone": (lambda: f"{r.randint(1900, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}", lambda: f"{dig(2)}.{dig(2)}.{r.randint(1900, 2030)}", lambda: f"{dig(3)} {dig(3)}", lambda: f"{dig(3)}.{dig(3)}.{dig(3)}", lambda: f"{dig(2)}-{dig(2)}", lambda: dig(r.randint(9, 13)), lambda: f"{dig(3)} {dig(3)} {dig(3)}", lambda: f"{dig(4)} {dig(4)} {dig(4)}"),
         "ip": (lambda: f"{r.randint(10, 23)}:{r.randint(10, 59)}:{r.randint(10, 59)}", lambda: f"{dig(1)}:{dig(2)}:{dig(2)}", lambda: "::", lambda: "a::b"),
-        "card": (lambda: four(dig(16), "."), lambda: four(dig(15), " "), lambda: dig(16)),
-        "iban": (lambda: f"{r.choice(('DE', 'FR', 'ZZ'))}{dig(20)}", lambda: f"AB{dig(2)} {dig(4)} {dig(4)} {dig(4)}"),
+        "card": (lambda: four(not_luhn(16), "."), lambda: four(not_luhn(16), "  "), lambda: four(not_luhn(16), "/")),
+        "iban": (not_iban, lambda: four(not_iban(), " ")),
         "mac": (lambda: "-".join(dig(2) for _ in range(6)),),
         "secret": (lambda: "".join(word() for _ in range(12)), lambda: "-".join(word() for _ in range(7)), lambda: "/".join(word() for _ in range(7)), lambda: "_" * r.randint(20, 60), lambda: "-" * r.randint(20, 60), lambda: "=" * 0 + "A" * 24, lambda: "".join(word() for _ in range(12)).upper(), lambda: dig(24), lambda: word() + "/" + word() + "-" + dig(4) + "/" + word() + "/" + word() + word()),
-        "ssn": (lambda: f"000-{dig(2)}-{dig(4)}",),
+        "ssn": (lambda: f"000-{r.randint(10, 99)}-{r.randint(1000, 9999)}", lambda: f"{r.randint(100, 665)}-00-{r.randint(1000, 9999)}"),
     }
     out = []
     for kind in KINDS:
@@ -254,7 +263,7 @@ def _fitted(app: str) -> tuple[str, dict[str, float]]:
     x = np.array([[r[k] for k in FEATURES] for r in got])
     y = np.array([r["label"] for r in got], float)
     i = np.array([r["i"] for r in got])
-    fit = i % 3 != 0
+    fit = np.array([k * 2654435761 % 2**32 // 7919 % 3 != 0 for k in i.tolist()])
     model = Boosted(trees=40, depth=3, rate=0.3, least=3).fit(x[fit], y[fit])
     margin = model.margin(x[~fit])
     cut = {
