@@ -17,7 +17,7 @@ fragments, and everything is done by fragment:
   each pair; the decision uses exact integers.
 
 Links are only needed between components that are not joined yet: each bucket
-first compares its members with one leader (twice, with different leaders), and
+first compares its members with one leader (LEADER_ROUNDS times, with other leaders), and
 only members of buckets that still hold several components are compared with each
 other, after a parity sketch has excluded pairs that differ too much (the number of
 odd cells in which two sketches differ never exceeds the real difference).
@@ -46,6 +46,8 @@ from .shingles import K1, K2, K3, U, mix, shingle_sets, slices
 SKETCH = 8
 #: Fragments in which overlaps are counted.
 COUNT_FRAGMENTS = 4
+#: Times that buckets compare their members with one leader before all are compared.
+LEADER_ROUNDS = 3
 
 
 class Schemes:
@@ -243,7 +245,7 @@ class NgramJoin:
 
         comp: DataFrame | None = None
         edges: DataFrame | None = None
-        for turn in (1, 2, 3):
+        for turn in range(1, LEADER_ROUNDS + 2):
             m = members
             if comp is not None:
                 m = m.join(comp, "v", "left").select("sig", "v", F.coalesce("component", "v").alias("c"))
@@ -251,8 +253,10 @@ class NgramJoin:
                 m = materialize(m.join(open_.select("sig"), "sig", "left_semi"), "ngram-open")
             else:
                 m = m.withColumn("c", F.col("v"))
-            if turn < 3:
-                lead = m.groupBy("sig").agg(F.min(F.struct(F.xxhash64("v", F.lit(turn)).alias("h"), "v", "c")).alias("x"))
+            if turn <= LEADER_ROUNDS:
+                # one order for all buckets at first, then another in each bucket
+                h = F.xxhash64("v") if turn == 1 else F.xxhash64("v", "sig", F.lit(turn))
+                lead = m.groupBy("sig").agg(F.min(F.struct(h.alias("h"), "v", "c")).alias("x"))
                 lead = lead.select("sig", F.col("x.v").alias("a"), F.col("x.c").alias("ca"))
                 pairs = m.join(lead, "sig").where("v <> a and c <> ca").select("a", F.col("v").alias("b")).distinct()
                 ok = F.expr(_far_apart("l", "r", self.num, self.den))
