@@ -102,8 +102,9 @@ def remove_spread_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lost = materialize(lost, "lines-lost")
     rows = docs.select(*names).withColumn("body_hash", F.xxhash64(text_col))
     lost = lost.select(F.col("doc").alias("lost_doc"), F.col("body_hash").alias("lost_hash"), "lost")
+    # shuffled at every size: which texts change is not known to be few
     joined = rows.join(
-        broadcast_if_small(lost, limit=100_000),
+        lost.hint("merge"),
         F.col(id_col).eqNullSafe(F.col("lost_doc")) & (F.col("body_hash") == F.col("lost_hash")),
         "left",
     )
