@@ -1,5 +1,3 @@
-import collections
-
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -87,5 +85,12 @@ def test_no_pair_is_lost(n, add, drop, seed):
                 assert set(signatures(x, s).tolist()) & set(signatures(y, s).tolist())
 
 
-def test_counter_is_exact():
-    assert [Schemes(90, 100).fragments(k) for k in (0, 20)] == [1, 2] or collections.Counter()
+def test_schemes():
+    """A document of n n-grams has enough fragments for every partner's differences."""
+    for num in (80, 90):
+        s = Schemes(num, 100)
+        for n in range(1, 400):
+            k = s.size_class(n)
+            assert s.bounds[k] <= n < s.bounds[k + 1]
+            assert s.fragments(k) > n * (100 - num) // num
+            assert s.size_class(n * 100 // num) <= k + 1
