@@ -16,6 +16,7 @@ an empty table gives no pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -35,44 +36,76 @@ END_ID = 2
 #: Tokens by which the lengths of a class can differ.
 WIDTH = 8
 #: Words whose ids a worker remembers.
-CACHE = 300_000
+CACHE = 900_000
 #: Pieces ranked by one task at most, about.
 RANK_ROWS = 500_000
 
 
+def _byte_letters() -> list[str]:
+    """The character that byte-level vocabularies write for each byte: itself if it prints, else one from U+0100 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in prints else chr(next(rest)) for b in range(256)]
+
+
+_AS_LETTERS = str.maketrans(dict(enumerate(_byte_letters())))
+#: Words that normal form, case and splitting leave as they are: lower-case Latin letters.
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff\u0101-\u024f]+")
+
+
 class WordTokenizer:
     """Ids of texts; words between ASCII white space are encoded once and remembered.
 
     The tokenizer drops white space and never joins characters across it, so the ids
-    of a text are those of its words in a row.
+    of a text are those of its words in a row.  Nor does it join a letter or digit and
+    the punctuation behind it.  Words of lower-case Latin letters go straight to the
+    vocabulary's model; all others through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
+        self.model = self.inner.model
         self.known: dict[bytes, bytes] = {}
 
+    def _ids(self, word: bytes) -> bytes:
+        got = self.known.get(word)
+        if got is None:
+            text = word.decode("utf-8")
+            if _PLAIN.fullmatch(text) and text == text.lower():
+                ids = [t.id for t in self.model.tokenize(word.decode("latin-1").translate(_AS_LETTERS))]
+            else:
+                ids = self.inner.encode(text, add_special_tokens=False).ids
+            got = self.known[word] = np.array(ids, dtype="<u4").tobytes()
+        return got
+
+    def _learn(self, word: bytes) -> bytes:
+        core = word.rstrip(b".,;:!?")
+        if core and len(core) < len(word) and core[-1:].isalnum():
+            got = self.known[word] = self._ids(core) + self._ids(word[len(core) :])
+            return got
+        return self._ids(word)
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         words: list[bytes] = []
         counts = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
             if t:
-                w = t.encode("utf-8", "replace").split()
+                b = t.encode("utf-8", "replace")
+                # lower-cased first unless marks that compose, or a special token, may be in it
+                if b"\xcc" not in b and b"\xcd" not in b and b"<|" not in b:
+                    b = b.lower()
+                w = b.split()
                 counts[i] = len(w)
                 words.extend(w)
         if not words:
             return [np.zeros(0, np.uint32) for _ in texts]
         codes, uniq = pd.factorize(np.array(words, dtype=object))
-        new = [w for w in uniq if w not in self.known]
-        if len(self.known) + len(new) > CACHE:
+        if len(self.known) + len(uniq) > CACHE:
             self.known = {}
-            new = list(uniq)
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            got = self.inner.encode_batch([w.decode("utf-8") for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, got, strict=True))
-        parts = [self.known[w] for w in uniq]
+        known = self.known
+        parts = [known.get(w) or self._learn(w) for w in uniq]
         size = np.array([len(p) // 4 for p in parts], np.int64)
         pool = np.frombuffer(b"".join(parts), "<u4")
         first = np.cumsum(size) - size
