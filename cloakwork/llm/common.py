@@ -68,8 +68,3 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int = BROA
     """Hint a broadcast only once df has been counted and is within limit rows."""
     n = df.count() if rows is None else rows
     return F.broadcast(df) if n <= limit else df
-
-
-def distinct_columns(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Only the named columns, so that extra ones with clashing names cannot interfere."""
-    return df.select(*[F.col(f"`{c}`") for c in keep])

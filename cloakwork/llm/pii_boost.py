@@ -68,6 +68,9 @@ CUES = {
     "secret": r"(?i)(?:token|secret|passw|passwd|api.?key|\bkey\b|credential|auth|bearer)\w*\W{0,6}$",
     "ssn": r"(?i)(?:ssn|social|security)\w*\W{0,4}(?:\w+\W+){0,2}$",
 }
+#: What stands right before a value that is assigned to a name, or that is a reference.
+ASSIGNED = r"""[=:] *["']?$"""
+REFERENCE = r"(?i)(?:no|nr|n°|id|ref|order|invoice|isbn|version|v|page|#|case|sha|commit|rev|checksum|md5)[.:#]? ?$"
 FEATURES = (
     "kind_no", "len", "digits", "letters", "uppers", "others", "distinct_chars", "luhn", "mod97", "cue", "assigned",
     "ref_before", "hex", "groups", "at_word", "zero_group",
@@ -151,8 +154,8 @@ def with_features(c: str, text: str) -> str:
         "luhn": f"if(length({d}) between 13 and 19 and luhn_check({d}), 1D, 0D)",
         "mod97": f"if({c}.kind = 'iban', if({mod} = 1, 1D, 0D), 0D)",
         "cue": f"if({cue}, 1D, 0D)",
-        "assigned": f"if({before} rlike {_sql(chr(91) + '=:' + chr(93) + chr(32) + '*' + chr(91) + chr(34) + chr(39) + chr(93) + '?$')}, 1D, 0D)",
-        "ref_before": f"if({before} rlike {_sql('(?i)(?:no|nr|n°|id|ref|order|invoice|isbn|version|v|page|#|case|sha|commit|rev|checksum|md5)[.:#]? ?$')}, 1D, 0D)",
+        "assigned": f"if({before} rlike {_sql(ASSIGNED)}, 1D, 0D)",
+        "ref_before": f"if({before} rlike {_sql(REFERENCE)}, 1D, 0D)",
         "hex": f"if({m} rlike '^[0-9a-fA-F]+$', 1D, 0D)",
         "groups": f"cast(size(split({m}, '[^A-Za-z0-9]+')) as double)",
         "at_word": f"if({m} rlike '(?i)\\\\bat\\\\b|@', 1D, 0D) + if({m} rlike '(?i)\\\\bdot\\\\b', 1D, 0D)",
@@ -221,7 +224,7 @@ def _examples(seed: int = 5) -> list[tuple[str, str, str, int]]:
         "card": (lambda: four(not_luhn(16), "."), lambda: four(not_luhn(16), "  "), lambda: four(not_luhn(16), "/")),
         "iban": (not_iban, lambda: four(not_iban(), " ")),
         "mac": (lambda: "-".join(dig(2) for _ in range(6)),),
-        "secret": (lambda: "".join(word() for _ in range(12)), lambda: "-".join(word() for _ in range(7)), lambda: "/".join(word() for _ in range(7)), lambda: "_" * r.randint(20, 60), lambda: "-" * r.randint(20, 60), lambda: "=" * 0 + "A" * 24, lambda: "".join(word() for _ in range(12)).upper(), lambda: dig(24), lambda: word() + "/" + word() + "-" + dig(4) + "/" + word() + "/" + word() + word()),
+        "secret": (lambda: "".join(word() for _ in range(12)), lambda: "-".join(word() for _ in range(7)), lambda: "/".join(word() for _ in range(7)), lambda: "_" * r.randint(20, 60), lambda: "-" * r.randint(20, 60), lambda: "A" * 24, lambda: "".join(word() for _ in range(12)).upper(), lambda: dig(24), lambda: word() + "/" + word() + "-" + dig(4) + "/" + word() + "/" + word() + word()),
         "ssn": (lambda: f"000-{r.randint(10, 99)}-{r.randint(1000, 9999)}", lambda: f"{r.randint(100, 665)}-00-{r.randint(1000, 9999)}"),
     }
     out = []
