@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, importable, materialize
+from .common import broadcast_if_small, drop_path, importable, materialize
 from .components import connected_components
 from .shingles import K1, K2, K3, U, mix, shingle_sets, slices
 
@@ -48,6 +48,8 @@ SKETCH = 8
 COUNT_FRAGMENTS = 4
 #: Times that buckets compare their members with one leader before all are compared.
 LEADER_ROUNDS = 3
+#: Fragments shared by rows that may be broadcast: longs, some 100 MB as a hash table.
+MET_ROWS = 4_000_000
 
 
 class Schemes:
@@ -226,9 +228,10 @@ class NgramJoin:
         )
         classes = materialize(classes, "ngram-classes")
         rows = named.select("d1", F.explode("sigs").alias("sig"))
-        met = rows.groupBy("sig").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo <> hi").select("sig")
+        # rows of equal texts count too; distinct() below takes them together
+        met = rows.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig")
         met = materialize(met, "ngram-met")
-        members = rows.join(broadcast_if_small(met), "sig").distinct()
+        members = rows.join(broadcast_if_small(met, limit=MET_ROWS), "sig").distinct()
         info = classes.select("d1", "v", "n", *[f"p{i}" for i in range(SKETCH)])
         members = materialize(members.join(info.select("d1", "v"), "d1").select("sig", "v").distinct(), "ngram-members")
         wanted = members.select("v").distinct().join(classes.select("v", "d1"), "v")
@@ -276,8 +279,11 @@ class NgramJoin:
                 comp = materialize(connected_components(edges), "ngram-components")
         self.edges = edges
         final = classes.join(comp, "v", "left").select("d1", "d2", F.coalesce("component", "v").alias("c"))
-        least = final
-        out = described.select("doc_id", "n", "d1", "d2").join(least, ["d1", "d2"], "left")
+        slim = materialize(described.select("doc_id", "n", "d1", "d2"), "ngram-slim")
+        # what no later step reads makes room
+        for done in (described, met, members, wanted, segs):
+            drop_path(done)
+        out = slim.join(final, ["d1", "d2"], "left")
         cid = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("c"))
         return out.select("doc_id", F.col("n").alias("n_shingles"), cid.alias("component_id"))
 
