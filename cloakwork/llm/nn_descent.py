@@ -1,15 +1,18 @@
 """Near-duplicate vectors by NN-descent, within equal labels.
 
 Equal vectors are one vertex with a count.  A neighbour graph starts from random
-hyperplane tables: in each bucket, ordered along a random direction, a vertex meets the
-next few.  Then it is refined: at every vertex its neighbours and reverse neighbours
-meet each other (the neighbours-of-neighbours join), better pairs enter the lists, and
-only pairs with a new edge are tried again, until hardly any list changes.
+hyperplane tables: in each bucket all vertices meet, large buckets in blocks.  Then it is
+refined: at every vertex its neighbours and reverse neighbours meet each other (the
+neighbours-of-neighbours join), better pairs enter the lists, and only pairs with a new
+edge are tried again, until hardly any list changes.
 
 Lists have a fixed length, so in a dense group they saturate: all entries are above the
-threshold and more may exist.  The lists of every component with a saturated vertex are
-enlarged to the whole component: its members are compared in blocks, and only counts
-leave a task, so no group is gathered and no pairs are emitted.  Recall is audited
+threshold and more may exist.  Components do not rest on the lists: every block also
+gives a spanning forest of all its links, so groups that are tighter inside than towards
+each other are joined although no list has an entry between them.  The lists of every
+component with a saturated vertex are enlarged to the whole component: its members are
+compared in blocks, and only counts leave a task, so no group is gathered and no pairs
+are emitted.  Recall is audited
 against brute force for a bounded sample of vertices, and while it is below
 target_recall more tables are added.
 
@@ -30,14 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import importable, materialize
+from .common import broadcast_if_small, importable, materialize
 from .components import connected_components
 
-#: Neighbours in a list, tables at the start, bits of a table, neighbours met in a bucket.
-LIST, TABLES, BITS, NEAR = 8, 12, 6, 5
+#: Neighbours in a list, tables at the start, bits of a table.
+LIST, TABLES, BITS = 8, 12, 6
 #: Pairs below this cosine are no help in reaching one of 0.98 and are not listed.
 FLOOR = 0.7
-#: Members compared at a time when a component is enlarged.
+#: Members of a bucket or of a component compared at a time.
 BLOCK = 512
 #: Vertices audited.
 AUDIT = 256
@@ -58,22 +61,15 @@ def _by_length(raw: list[bytes]) -> dict[int, list[int]]:
 def _tables(first: int, tables: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v, raw = b.column(0).to_numpy(), b.column(1).to_pylist()
+            v, g, raw = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()
             for size, at in _by_length(raw).items():
                 x = _unit([raw[i] for i in at])
                 for t in range(first, first + tables):
                     rng = np.random.default_rng([seed, t, size])
-                    p = x @ rng.normal(size=(x.shape[1], BITS + 1))
-                    code = ((p[:, :BITS] > 0) * (1 << np.arange(BITS))).sum(1)
+                    code = ((x @ rng.normal(size=(x.shape[1], BITS)) > 0) * (1 << np.arange(BITS))).sum(1)
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(v[at]),
-                            pa.array(np.full(len(at), t, np.int32)),
-                            pa.array(code.astype(np.int32)),
-                            pa.array(np.full(len(at), size, np.int32)),
-                            pa.array(p[:, BITS]),
-                        ],
-                        names=["v", "t", "code", "size", "along"],
+                        [pa.array(v[at]), pa.array(g[at]), pa.array(np.full(len(at), t, np.int32)), pa.array(code.astype(np.int32))],
+                        names=["v", "g", "t", "code"],
                     )
 
     return run
@@ -128,14 +124,66 @@ def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _pair_sims(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
-            sim = np.empty(len(x))
-            for at in _by_length(x).values():
-                sim[at] = np.einsum("ij,ij->i", _unit([x[i] for i in at]), _unit([y[i] for i in at]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sim)], names=["u", "v", "sim"])
+def _forest(hit: np.ndarray) -> tuple[list[int], list[int]]:
+    """Edges from the first member of each component of a symmetric relation to the others."""
+    a, b = [], []
+    left = hit.any(1)
+    for i in np.nonzero(left)[0].tolist():
+        if not left[i]:
+            continue
+        left[i] = False
+        front = hit[i] & left
+        while front.any():
+            at = np.nonzero(front)[0]
+            left[at] = False
+            a += [i] * len(at)
+            b += at.tolist()
+            front = hit[at].any(0) & left
+    return a, b
+
+
+def _meet(threshold: float):
+    """In a block all pairs meet: the best LIST of each member, and a spanning forest of the links (sim null)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, g in _groups(batches):
+            if len(g["v"]) < 2:
+                continue
+            left = np.array(g["blk"]) == g["lo"][0]
+            order = np.argsort(~left, kind="stable")
+            v, k = np.array(g["v"])[order], int(left.sum())
+            x = _unit([g["vec"][i] for i in order])
+            same = g["lo"][0] == g["hi"][0]
+            c = x @ x.T if same else x[:k] @ x[k:].T
+            if same:
+                np.fill_diagonal(c, -2.0)
+                sides = [(c, v, v)]
+            else:
+                sides = [(c, v[:k], v[k:]), (c.T, v[k:], v[:k])]
+            for d, us, vs in sides:
+                some = np.nonzero((d > FLOOR).any(1))[0]
+                if not len(some):
+                    continue
+                d = d[some]
+                best = np.argpartition(-d, LIST - 1, axis=1)[:, :LIST] if d.shape[1] > LIST else np.tile(np.arange(d.shape[1]), (len(d), 1))
+                sim = np.take_along_axis(d, best, 1)
+                i, j = np.nonzero(sim > FLOOR)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(us[some[i]]), pa.array(vs[best[i, j]]), pa.array(sim[i, j])], names=["u", "v", "sim"]
+                )
+            hit = c >= threshold
+            if not hit.any():
+                continue
+            if not same:
+                square = np.zeros((len(v), len(v)), bool)
+                square[:k, k:], square[k:, :k] = hit, hit.T
+                hit = square
+            a, b = _forest(hit)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v[a]), pa.array(v[b]), pa.nulls(len(a), pa.float64())], names=["u", "v", "sim"]
+            )
+
+    return run
 
 
 def _block_links(threshold: float):
@@ -205,22 +253,28 @@ class NearVectors:
             packed.groupBy("label", "vec").agg(F.min("vec_id").alias("v"), F.count("*").alias("m")).select("v", "label", "vec", "m"),
             "nn-vertices",
         )
+        # vertices that may link: equal label and length
+        size = F.length("vec").alias("size")
+        groups = self.vertices.groupBy("label", size).agg(F.min("v").alias("g"), F.count("*").alias("members"))
+        self.groups = materialize(groups, "nn-groups")
+        own = self.vertices.select("v", "label", size, "vec").join(broadcast_if_small(self.groups), ["label", "size"])
+        self.members = own.select("v", "g", "vec")
 
     def _start(self, first: int, tables: int) -> DataFrame:
-        keys = self.vertices.select("v", "vec").mapInArrow(
-            _tables(first, tables, self.seed), "v long, t int, code int, size int, along double"
-        )
-        keys = keys.join(self.vertices.select("v", "label"), "v")
-        order = W.partitionBy("label", "size", "t", "code").orderBy("along", "v")
-        met = keys.select("v", F.array(*[F.lead("v", i).over(order) for i in range(1, NEAR + 1)]).alias("w"))
-        met = met.select("v", F.explode("w").alias("w")).where("w is not null")
-        return met.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
-
-    def _sims(self, pairs: DataFrame) -> DataFrame:
-        x = self.vertices.select(F.col("v").alias("a"), F.col("vec").alias("xa"))
-        y = self.vertices.select(F.col("v").alias("b"), F.col("vec").alias("xb"))
-        got = pairs.join(x, "a").join(y, "b").select("a", "b", "xa", "xb")
-        return got.mapInArrow(_pair_sims, "u long, v long, sim double")
+        """(u, v, sim) of what meets in the buckets of these tables; sim is null for spanning edges."""
+        keys = self.members.mapInArrow(_tables(first, tables, self.seed), "v long, g long, t int, code int")
+        keys = materialize(keys, "nn-keys")
+        bucket = ["g", "t", "code"]
+        large = keys.groupBy(*bucket).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+        large = materialize(large.select(*bucket, F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")), "nn-large")
+        keys = keys.join(broadcast_if_small(large), bucket, "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
+        keys = keys.withColumn("blk", F.pmod(F.xxhash64("v"), F.col("nb")).cast("int"))
+        keys = keys.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
+        keys = keys.withColumn("lo", F.least("blk", "other")).withColumn("hi", F.greatest("blk", "other"))
+        keys = keys.withColumn("task", F.concat_ws(":", *bucket, "lo", "hi"))
+        met = keys.join(self.vertices.select("v", "vec"), "v").select("task", "lo", "hi", "blk", "v", "vec")
+        met = met.repartition("task").sortWithinPartitions("task")
+        return materialize(met.mapInArrow(_meet(self.threshold), "u long, v long, sim double"), "nn-met")
 
     def _top(self, listed: DataFrame) -> DataFrame:
         """The best LIST entries of each u, old entries first among equals."""
@@ -228,9 +282,6 @@ class NearVectors:
         order = W.partitionBy("u").orderBy(F.col("sim").desc(), "v")
         return best.withColumn("r", F.row_number().over(order)).where(F.col("r") <= LIST).drop("r")
 
-    def _both(self, pairs: DataFrame) -> DataFrame:
-        return pairs.select("u", "v", "sim").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim"))
-
     def _refine(self, graph: DataFrame) -> DataFrame:
         for _ in range(self.max_rounds):
             fresh = graph.where("fresh").limit(1).count()
@@ -252,11 +303,12 @@ class NearVectors:
             graph = materialize(self._top(merged), "nn-graph")
         return graph
 
-    def _links(self, graph: DataFrame) -> None:
+    def _links(self, graph: DataFrame, joins: DataFrame) -> None:
+        """Counts and components from the lists and the spanning edges."""
         t = self.threshold
         pairs = graph.where(F.col("sim") >= t).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
         pairs = materialize(pairs, "nn-pairs")
-        comp = materialize(connected_components(pairs), "nn-components")
+        comp = materialize(connected_components(pairs.unionByName(joins)), "nn-components")
         saturated = graph.groupBy("u").agg(F.min("sim").alias("s"), F.count("*").alias("k"))
         saturated = saturated.where((F.col("k") >= LIST) & (F.col("s") >= t)).select(F.col("u").alias("v"))
         dense = comp.join(saturated, "v").select("component").distinct()
@@ -305,15 +357,17 @@ class NearVectors:
 
     def run(self) -> DataFrame:
         self._vertices()
-        tables, graph = 0, None
+        tables, graph, joins = 0, None, None
         for attempt in range(3):
-            pairs = self._start(tables, TABLES)
+            met = self._start(tables, TABLES)
             tables += TABLES
-            start = self._both(self._sims(pairs)).withColumn("fresh", F.lit(True))
+            start = met.where("sim is not null").withColumn("fresh", F.lit(True))
+            edges = met.where("sim is null").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
+            joins = edges if joins is None else joins.unionByName(edges)
             if graph is not None:
                 start = start.unionByName(graph.withColumn("fresh", F.lit(False)))
             graph = self._refine(materialize(self._top(start), "nn-graph"))
-            self._links(graph)
+            self._links(graph, joins)
             self.recall = self._audit()
             if self.recall >= self.target:
                 break

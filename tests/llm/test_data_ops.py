@@ -104,6 +104,35 @@ def test_near_vectors(spark):
     assert nn_descent.near_vectors(df.limit(0)).count() == 0
 
 
+def sphere(r, dim, near, cosine):
+    """A unit vector at this cosine from near."""
+    y = r.normal(size=dim)
+    y -= (y @ near) * near
+    return cosine * near + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y)
+
+
+def links(x, threshold=0.98):
+    hit = x @ x.T >= threshold
+    np.fill_diagonal(hit, False)
+    return hit
+
+
+def test_groups_that_link_only_to_each_other(spark):
+    # all neighbours in the lists are of the own group, every link across is beyond them
+    r = np.random.default_rng(5)
+    dim = 64
+    one = sphere(r, dim, np.eye(dim)[0], 0.0)
+    two = sphere(r, dim, one, 0.9865)
+    x = np.array([sphere(r, dim, c, 0.9993) for c in (one, two) for _ in range(100)])
+    hit = links(x)
+    inside, across = (x @ x.T)[:100, :100], (x @ x.T)[:100, 100:]
+    assert inside.min() > across.max() and across.min() >= 0.98
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {g["vec_id"]: g for g in nn_descent.near_vectors(df).collect()}
+    assert [got[i]["n_links"] for i in range(200)] == hit.sum(1).tolist()
+    assert all(g["component_id"] == 0 and g["kept"] == (i == 0) for i, g in got.items())
+
+
 def pages():
     rows = [(i, f"http://www.h{i % 7}.example.com/p/{i % 11}?q=é {i}", f"<p>page {i % 40}</p>" * (i % 5)) for i in range(300)]
     return rows + [(400, None, None), (401, "not a url\n", ""), (402, "http://[bad", "x" * 200_000), (-3, "http://a.example/", "neg"), (None, "http://a.example/", "neg")]
