@@ -1,7 +1,10 @@
 """Near-duplicate vectors by NN-descent, within equal labels.
 
 Equal vectors are one vertex with a count.  A neighbour graph starts from random
-hyperplane tables: in each bucket all vertices meet, large buckets in blocks.  Then it is
+hyperplane tables: in each bucket all vertices meet, large buckets in blocks.  The bits
+of a table follow the number of vertices of a label, and the number of tables follows
+the bits, so that a pair at the threshold meets with probability MEETS in a label of any
+size, whatever its other neighbours are.  Then it is
 refined: at every vertex its neighbours and reverse neighbours meet each other (the
 neighbours-of-neighbours join), better pairs enter the lists, and only pairs with a new
 edge are tried again, until hardly any list changes.
@@ -12,9 +15,11 @@ gives a spanning forest of all its links, so groups that are tighter inside than
 each other are joined although no list has an entry between them.  The lists of every
 component with a saturated vertex are enlarged to the whole component: its members are
 compared in blocks, and only counts leave a task, so no group is gathered and no pairs
-are emitted.  Recall is audited
-against brute force for a bounded sample of vertices, and while it is below
-target_recall more tables are added.
+are emitted.  Recall is audited against brute force for a bounded sample of vertices: the
+mean share of its links that a vertex has, over the vertices that have links, apart for
+those with few and with many.  The lesser one is the recall.  While it is below
+target_recall more tables are added, and at last all vertices of a label are compared, in
+blocks; that costs the square of a label's size.
 
 Cosines are taken in double precision from the stored components.  Defined cases: a
 vector that is null, empty, zero, or holds a null or non-finite component, or whose
@@ -25,6 +30,7 @@ equal vectors; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,14 +42,20 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, importable, materialize
 from .components import connected_components
 
-#: Neighbours in a list, tables at the start, bits of a table.
-LIST, TABLES, BITS = 8, 12, 6
-#: Pairs below this cosine are no help in reaching one of 0.98 and are not listed.
+#: Neighbours in a list.
+LIST = 8
+#: Vertices of a label in a bucket on average, at most; probability that a pair at the threshold meets.
+MEAN, MEETS = 512, 0.99
+#: Bounds of a plan; a low threshold gets larger buckets instead of more tables.
+MAX_BITS, MAX_TABLES = 24, 48
+#: Attempts; the last one compares everything of a label.
+ATTEMPTS = 3
+#: Pairs below this cosine, and below the threshold, do not help and are not listed.
 FLOOR = 0.7
 #: Members of a bucket or of a component compared at a time.
-BLOCK = 512
-#: Vertices audited.
-AUDIT = 256
+BLOCK = 1024
+#: Vertices audited; the next number is taken if fewer than AUDIT_LINKED of them have links.
+AUDIT, AUDIT_LINKED = (2048, 16384), 64
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
@@ -58,19 +70,35 @@ def _by_length(raw: list[bytes]) -> dict[int, list[int]]:
     return out
 
 
-def _tables(first: int, tables: int, seed: int):
+def plans(threshold: float) -> list[tuple[int, int]]:
+    """(bits, tables) by bits from 0: with these a pair at the threshold meets with probability MEETS."""
+    one = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    out = [(0, 1)]
+    for bits in range(1, MAX_BITS + 1):
+        p = one**bits
+        tables = 1 if p >= MEETS else math.ceil(math.log(1 - MEETS) / math.log1p(-p)) if p > 0 else MAX_TABLES + 1
+        if tables > MAX_TABLES:
+            break
+        out.append((bits, tables))
+    return out
+
+
+def _tables(attempt: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v, g, raw = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()
+            bits, tables = b.column(3).to_numpy(), b.column(4).to_numpy()
             for size, at in _by_length(raw).items():
-                x = _unit([raw[i] for i in at])
-                for t in range(first, first + tables):
-                    rng = np.random.default_rng([seed, t, size])
-                    code = ((x @ rng.normal(size=(x.shape[1], BITS)) > 0) * (1 << np.arange(BITS))).sum(1)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(v[at]), pa.array(g[at]), pa.array(np.full(len(at), t, np.int32)), pa.array(code.astype(np.int32))],
-                        names=["v", "g", "t", "code"],
-                    )
+                for k, n in sorted(set(zip(bits[at].tolist(), tables[at].tolist(), strict=True))):
+                    own = [i for i in at if bits[i] == k and tables[i] == n]
+                    x = _unit([raw[i] for i in own])
+                    for t in range(n):
+                        rng = np.random.default_rng([seed, attempt, t, size])
+                        code = ((x @ rng.normal(size=(x.shape[1], k)) > 0) * (1 << np.arange(k))).sum(1)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(v[own]), pa.array(g[own]), pa.array(np.full(len(own), t, np.int32)), pa.array(code.astype(np.int32))],
+                            names=["v", "g", "t", "code"],
+                        )
 
     return run
 
@@ -144,6 +172,7 @@ def _forest(hit: np.ndarray) -> tuple[list[int], list[int]]:
 
 def _meet(threshold: float):
     """In a block all pairs meet: the best LIST of each member, and a spanning forest of the links (sim null)."""
+    floor = min(FLOOR, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, g in _groups(batches):
@@ -161,13 +190,13 @@ def _meet(threshold: float):
             else:
                 sides = [(c, v[:k], v[k:]), (c.T, v[k:], v[:k])]
             for d, us, vs in sides:
-                some = np.nonzero((d > FLOOR).any(1))[0]
+                some = np.nonzero((d >= floor).any(1))[0]
                 if not len(some):
                     continue
                 d = d[some]
                 best = np.argpartition(-d, LIST - 1, axis=1)[:, :LIST] if d.shape[1] > LIST else np.tile(np.arange(d.shape[1]), (len(d), 1))
                 sim = np.take_along_axis(d, best, 1)
-                i, j = np.nonzero(sim > FLOOR)
+                i, j = np.nonzero(sim >= floor)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(us[some[i]]), pa.array(vs[best[i, j]]), pa.array(sim[i, j])], names=["u", "v", "sim"]
                 )
@@ -254,15 +283,22 @@ class NearVectors:
             "nn-vertices",
         )
         # vertices that may link: equal label and length
-        size = F.length("vec").alias("size")
-        groups = self.vertices.groupBy("label", size).agg(F.min("v").alias("g"), F.count("*").alias("members"))
+        size = F.length("vec")
+        groups = self.vertices.groupBy("label", size.alias("size")).agg(F.min("v").alias("g"), F.count("*").alias("members"))
         self.groups = materialize(groups, "nn-groups")
-        own = self.vertices.select("v", "label", size, "vec").join(broadcast_if_small(self.groups), ["label", "size"])
-        self.members = own.select("v", "g", "vec")
-
-    def _start(self, first: int, tables: int) -> DataFrame:
-        """(u, v, sim) of what meets in the buckets of these tables; sim is null for spanning edges."""
-        keys = self.members.mapInArrow(_tables(first, tables, self.seed), "v long, g long, t int, code int")
+        own = self.vertices.select("v", "label", size.alias("size"), "vec").join(broadcast_if_small(self.groups), ["label", "size"])
+        self.members = own.select("v", "g", "members", "vec")
+
+    def _start(self, attempt: int) -> DataFrame:
+        """(u, v, sim) of what meets in the buckets of this attempt; sim is null for spanning edges."""
+        plan = plans(self.threshold) if attempt < ATTEMPTS - 1 else [(0, 1)]
+        bits = F.least(F.greatest(F.ceil(F.log2(F.col("members") / MEAN)), F.lit(0)), F.lit(len(plan) - 1)).cast("int")
+        own = self.members.withColumn("bits", bits)
+        own = own.withColumn("tables", F.element_at(F.array(*[F.lit(n) for _, n in plan]), F.col("bits") + 1))
+        own = own.withColumn("bits", F.element_at(F.array(*[F.lit(k) for k, _ in plan]), F.col("bits") + 1))
+        keys = own.select("v", "g", "vec", "bits", "tables").mapInArrow(
+            _tables(attempt, self.seed), "v long, g long, t int, code int"
+        )
         keys = materialize(keys, "nn-keys")
         bucket = ["g", "t", "code"]
         large = keys.groupBy(*bucket).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
@@ -330,37 +366,56 @@ class NearVectors:
         self.comp = comp
 
     def _audit(self) -> float:
-        """Links found of a bounded sample of vertices against brute force over all rows."""
-        sample = self.vertices.orderBy(F.xxhash64(F.lit(self.seed), "v")).limit(AUDIT)
-        held = [(r["v"], r["label"], bytes(r["vec"])) for r in sample.select("v", "label", "vec").collect()]
+        """Least of the recalls of a bounded sample of vertices, with few and with many links."""
+        for k, most in enumerate(AUDIT):
+            linked, recall, whole = self._audit_of(most)
+            if linked >= AUDIT_LINKED or whole or k == len(AUDIT) - 1:
+                break
+        return recall
+
+    def _audit_of(self, most: int) -> tuple[int, float, bool]:
+        """(sampled vertices that have links, recall, whether all vertices were in the sample)."""
+        sample = self.vertices.orderBy(F.xxhash64(F.lit(self.seed), "v"), "v").limit(most)
+        held: dict = {}
+        total = 0
+        for r in sample.select("v", "label", "vec").collect():
+            held.setdefault((r["label"], len(r["vec"])), []).append((r["v"], bytes(r["vec"])))
+            total += 1
+        held = {k: (np.array([v for v, _ in g]), np.frombuffer(b"".join(x for _, x in g), np.float64).reshape(len(g), -1)) for k, g in held.items()}
         t = self.threshold
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(held), np.int64)
+            unit = {k: x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None] for k, (_, x) in held.items()}
+            want = {k: np.zeros(len(v), np.int64) for k, (v, _) in held.items()}
             for b in batches:
-                vs, ls, raw, ms = (b.column(i).to_pylist() for i in range(4))
-                for size, at in _by_length(raw).items():
-                    q = [k for k, h in enumerate(held) if len(h[2]) == size]
-                    if q:
-                        c = _unit([held[k][2] for k in q]) @ _unit([raw[i] for i in at]).T >= t
-                        c &= np.array([held[k][1] for k in q], object)[:, None] == np.array([ls[i] for i in at], object)[None, :]
-                        c &= np.array([held[k][0] for k in q])[:, None] != np.array([vs[i] for i in at])[None, :]
-                        total[q] += c @ np.array([ms[i] for i in at])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([h[0] for h in held], pa.int64()), pa.array(total)], names=["v", "n"]
-            )
-
-        true = self.vertices.select("v", "label", "vec", "m").mapInArrow(run, "v long, n long").groupBy("v").agg(F.sum("n").alias("want"))
-        both = true.join(self.counts, "v", "left").agg(F.sum("want").alias("w"), F.sum(F.least(F.coalesce("n", F.lit(0)), "want")).alias("n"))
-        r = both.first()
-        return 1.0 if not r["w"] else r["n"] / r["w"]
+                vs, ms = b.column(0).to_numpy(), b.column(3).to_numpy()
+                ls, raw = b.column(1).to_pylist(), b.column(2).to_pylist()
+                groups: dict = {}
+                for i, (label, x) in enumerate(zip(ls, raw, strict=True)):
+                    if (label, len(x)) in held:
+                        groups.setdefault((label, len(x)), []).append(i)
+                for key, at in groups.items():
+                    for lo in range(0, len(at), BLOCK):
+                        own = at[lo : lo + BLOCK]
+                        y = _unit([raw[i] for i in own])
+                        for q in range(0, len(want[key]), BLOCK):
+                            c = unit[key][q : q + BLOCK] @ y.T >= t
+                            c &= held[key][0][q : q + BLOCK, None] != vs[own][None, :]
+                            want[key][q : q + BLOCK] += c @ ms[own]
+            for key, n in want.items():
+                some = n > 0
+                yield pa.RecordBatch.from_arrays([pa.array(held[key][0][some]), pa.array(n[some])], names=["v", "want"])
+
+        true = self.vertices.select("v", "label", "vec", "m").mapInArrow(run, "v long, want long").groupBy("v").agg(F.sum("want").alias("want"))
+        share = F.least(F.coalesce("n", F.lit(0)), "want") / F.col("want")
+        rows = true.join(self.counts, "v", "left").groupBy(F.col("want") > LIST).agg(F.count("*").alias("k"), F.avg(share).alias("r")).collect()
+        return sum(r["k"] for r in rows), min((r["r"] for r in rows), default=1.0), total < most
 
     def run(self) -> DataFrame:
         self._vertices()
-        tables, graph, joins = 0, None, None
-        for attempt in range(3):
-            met = self._start(tables, TABLES)
-            tables += TABLES
+        graph, joins = None, None
+        for attempt in range(ATTEMPTS):
+            met = self._start(attempt)
             start = met.where("sim is not null").withColumn("fresh", F.lit(True))
             edges = met.where("sim is null").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
             joins = edges if joins is None else joins.unionByName(edges)
@@ -371,6 +426,8 @@ class NearVectors:
             self.recall = self._audit()
             if self.recall >= self.target:
                 break
+        else:
+            raise RuntimeError(f"recall {self.recall} is below {self.target} after all vertices were compared")
         ids = self.packed.select("vec_id", "label", "vec").join(self.vertices, ["label", "vec"]).select("vec_id", "v", "m")
         found = ids.join(self.counts, "v", "left").join(self.comp, "v", "left")
         found = found.select(

@@ -133,6 +133,36 @@ def test_groups_that_link_only_to_each_other(spark):
     assert all(g["component_id"] == 0 and g["kept"] == (i == 0) for i, g in got.items())
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.98])
+def test_every_label_size_meets(threshold):
+    # a pair at the threshold meets in a table with the probability of its angle, to the power of the bits
+    plan = nn_descent.plans(threshold)
+    assert [k for k, _ in plan] == list(range(len(plan))) and plan[0] == (0, 1)
+    for bits, tables in plan:
+        assert 1 - (1 - (1 - np.arccos(threshold) / np.pi) ** bits) ** tables >= 0.99
+    # at 0.98 the buckets stay small up to labels of hundreds of thousands of vertices
+    assert threshold < 0.98 or 1_000_000 / 2 ** plan[-1][0] <= nn_descent.MEAN
+
+
+def test_lost_pairs_are_audited(spark, monkeypatch):
+    # far too many bits: pairs are lost, which a dense group's links must not hide
+    monkeypatch.setattr(nn_descent, "MEAN", 1e-9)
+    monkeypatch.setattr(nn_descent, "MEETS", 1e-9)
+    r = np.random.default_rng(6)
+    far = [sphere(r, 64, np.eye(64)[0], 0.0) for _ in range(300)]
+    x = np.array(far + [sphere(r, 64, f, 0.983) for f in far[:150]] + [sphere(r, 64, far[0], 0.998) for _ in range(200)])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    run = nn_descent.NearVectors(df)
+    seen, audit = [], run._audit
+    monkeypatch.setattr(run, "_audit", lambda: seen.append(audit()) or seen[-1])
+    got = {g["vec_id"]: g["n_links"] for g in run.run().collect()}
+    assert seen[0] < 0.5 and run.recall == 1.0
+    assert [got[i] for i in range(len(x))] == links(x).sum(1).tolist()
+    monkeypatch.setattr(run, "_audit", lambda: 0.5)
+    with pytest.raises(RuntimeError):
+        run.run()
+
+
 def pages():
     rows = [(i, f"http://www.h{i % 7}.example.com/p/{i % 11}?q=é {i}", f"<p>page {i % 40}</p>" * (i % 5)) for i in range(300)]
     return rows + [(400, None, None), (401, "not a url\n", ""), (402, "http://[bad", "x" * 200_000), (-3, "http://a.example/", "neg"), (None, "http://a.example/", "neg")]
