@@ -53,6 +53,27 @@ def test_pii_spans(spark):
     assert [r["text"] for r in out] == ["mail [EMAIL] now", None]
 
 
+def test_every_generator_proposes_by_itself(spark):
+    # nothing else in the text may be needed for a match of a generator to be a candidate
+    alone = {
+        "mac": ["00-1A-2B-3C-4D-5E", "00:1a:2b:3c:4d:5e"],
+        "phone": ["06 12 34 56 78", "(030) 12-34", "0612345678"],
+        "ip": ["::1", "fe80::1", "2001:db8::ff"],
+        "iban": ["DE12 AB CD EF GH", "DE89370400440532013000"],
+        "secret": ["a1b2c3d4e5f6a7b8c9d0", "x" * 20],
+        "ssn": ["123-45-6789"],
+        "card": ["4111.1111.1111.1111"],
+        "email": ["jane (at) example (dot) com", "jane at example dot com", "JANE AT EXAMPLE DOT COM", "a@b.cd"],
+    }
+    rows = [(k, m) for k, ms in alone.items() for m in ms]
+    df = spark.createDataFrame(rows, "kind string, m string").selectExpr("kind", "m", "concat('so ', m, ' ok') as text")
+    got = df.select("kind", "m", pii_boost.candidates("text").alias("c")).collect()
+    assert {k for k, _ in rows} == set(pii_boost.KINDS)
+    assert not [(r["kind"], r["m"]) for r in got if not any(c["kind"] == r["kind"] and r["m"] in c["m"] for c in r["c"])]
+    text = spark.createDataFrame([("device 00-1A-2B-3C-4D-5E is up",), ("device 00-1A-2B-3C-4D-5E is up 123",)], "text string")
+    assert [r[0] for r in pii_boost.find_spans(text).select(pii_boost.listed("spans")).collect()] == ["mac:7:24"] * 2
+
+
 def test_boosting():
     r = np.random.default_rng(0)
     x = r.normal(size=(600, 4))
