@@ -53,7 +53,7 @@ GENERATORS = (
     ("card", r"(?<![0-9])[0-9]{4}(?:[ ./-]{0,2}[0-9]{4}){2}[ ./-]{0,2}[0-9]{1,7}(?![0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{2,4}){3,8}(?![A-Za-z0-9])"),
     ("mac", r"(?<![0-9A-Fa-f:-])[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:-])"),
-    ("secret", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,200}={0,2}(?![A-Za-z0-9+/_=-])"),
+    ("secret", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
 )
 CUES = {

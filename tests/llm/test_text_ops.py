@@ -74,6 +74,15 @@ def test_every_generator_proposes_by_itself(spark):
     assert [r[0] for r in pii_boost.find_spans(text).select(pii_boost.listed("spans")).collect()] == ["mac:7:24"] * 2
 
 
+def test_long_secrets(spark):
+    r = np.random.default_rng(4)
+    chars = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"))
+    rows = [(n, 'token = "' + "".join(r.choice(chars[:-2], 1)) + "".join(r.choice(chars, n - 2)) + 'x" ok') for n in (200, 201, 240, 342, 5000)]
+    df = spark.createDataFrame(rows, "n int, text string")
+    got = pii_boost.find_spans(df).select("n", pii_boost.listed("spans").alias("s")).collect()
+    assert {g["n"]: g["s"] for g in got} == {n: f"secret:9:{9 + n}" for n, _ in rows}
+
+
 def test_boosting():
     r = np.random.default_rng(0)
     x = r.normal(size=(600, 4))
