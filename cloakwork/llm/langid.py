@@ -344,8 +344,13 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def reject_unknown(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
-    """docs without those of no known language; columns and their values unchanged."""
+    """docs without those of no known language; columns and their values unchanged.
+
+    Without usable labels there is no model and nothing is known against a document: all stay.
+    """
     net = train(docs, ~held_out())
+    if net is None:
+        return docs
     scored = predict(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")), net)
     keep = (F.col("lang_pred") != "und") & (F.col("score") >= min_score)
     return scored.where(keep).select("row.*")

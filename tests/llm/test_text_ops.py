@@ -123,6 +123,12 @@ def test_language_id(spark):
     assert {r[0]: r[1] for r in odd.select("doc_id", langid.held_out()).collect()} == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in range(1, 5)}
 
 
+def test_without_labels_documents_stay(spark):
+    docs = spark.createDataFrame([(i, f"some words of document {i}", None, "s") for i in range(8)], "doc_id long, text string, lang string, source string")
+    kept = langid.reject_unknown(docs)
+    assert kept.columns == docs.columns and kept.orderBy("doc_id").collect() == docs.orderBy("doc_id").collect()
+
+
 def conversations(words):
     rows = []
     for c in range(12):
