@@ -3,6 +3,11 @@
 The global order of n-grams is the order of their 64-bit hashes.  It is cut into
 fragments, and everything is done by fragment:
 
+* Who can have a partner.  Of the n-grams of a set at most the share 1 - t is missing in a
+  partner.  In the first fragment (PROBE_MARGIN wider than that share) n-grams that
+  only one distinct set holds are counted, each fragment of the count by itself, and
+  summed for each set; a set with more than (1 - t) * n of them links with nothing.
+  Nothing else is asked of sets without near copies.
 * Candidates.  Two sets whose Jaccard similarity is at least t differ in at most
   (1 - t) / t * min(sizes) n-grams.  With one fragment more than that, some
   fragment holds the same n-grams in both, so documents meet only where a whole
@@ -48,8 +53,12 @@ SKETCH = 8
 COUNT_FRAGMENTS = 4
 #: Times that buckets compare their members with one leader before all are compared.
 LEADER_ROUNDS = 3
-#: Fragments shared by rows that may be broadcast: longs, some 100 MB as a hash table.
-MET_ROWS = 4_000_000
+#: Fragments shared by rows that may be broadcast: one long each, some 30 MB as a hash table.
+MET_ROWS = 1_000_000
+#: Vertices that may be broadcast to the texts: five longs each, some 50 MB as a hash table.
+WANTED_ROWS = 500_000
+#: Share of the order that is probed beyond the share by which two linked sets may differ.
+PROBE_MARGIN = 0.1
 
 
 class Schemes:
@@ -113,64 +122,83 @@ def _sketch(h: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    """A column of lists of longs."""
+    off = np.zeros(len(parts) + 1, dtype=np.int32)
+    np.cumsum([len(x) for x in parts], out=off[1:])
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(flat.view(np.int64)))
+
+
+def probe_limit(num: int, den: int) -> np.uint64:
+    """End of the range of the order that is probed: PROBE_MARGIN more of it than a set may differ by."""
+    share = min(1.0, (den - num) / den + PROBE_MARGIN)
+    return U(min(int(share * 2.0**64), 2**64 - 1))
+
+
 def _describe(k: int, num: int, den: int):
-    fields = ["doc_id", "d1", "d2", "n", "sigs", *[f"p{i}" for i in range(SKETCH)]]
+    limit = probe_limit(num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schemes = Schemes(num, den)
         with np.errstate(over="ignore"):
             for b in batches:
-                ids, texts = b.column(0), b.column(1).to_pylist()
+                texts = b.column(2).to_pylist()
                 for lo, hi in slices(texts):
                     sets = shingle_sets(texts[lo:hi], k)
                     dig = [_digests(h) for h in sets]
-                    sigs = [signatures(h, schemes) for h in sets]
-                    flat = np.concatenate(sigs).view(np.int64) if sigs else np.zeros(0, np.int64)
-                    off = np.zeros(len(sigs) + 1, dtype=np.int32)
-                    np.cumsum([len(s) for s in sigs], out=off[1:])
-                    sk = np.stack([_sketch(h) for h in sets])
                     yield pa.RecordBatch.from_arrays(
                         [
-                            ids.slice(lo, hi - lo),
+                            b.column(0).slice(lo, hi - lo),
+                            b.column(1).slice(lo, hi - lo),
                             pa.array([d[0] for d in dig], pa.int64()),
                             pa.array([d[1] for d in dig], pa.int64()),
                             pa.array([len(h) for h in sets], pa.int64()),
-                            pa.ListArray.from_arrays(pa.array(off), pa.array(flat)),
-                            *[pa.array(np.ascontiguousarray(sk[:, i])) for i in range(SKETCH)],
+                            _lists([h[: np.searchsorted(h, limit)] for h in sets]),
                         ],
-                        names=fields,
+                        names=["doc_id", "text_hash", "d1", "d2", "n", "probe"],
                     )
 
     return run
 
 
-def _segments(k: int):
+def _detail(k: int, num: int, den: int):
+    """(v, d1, d2, text) -> a row for each fragment in which overlaps are counted.
+
+    The row of fragment 0 also has signatures and sketch.  Rows whose text is not the one
+    of the vertex (another text under the same id) give nothing.
+    """
+    names = ["v", "frag", "toks", "sigs", *[f"p{i}" for i in range(SKETCH)]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schemes = Schemes(num, den)
+        none = np.zeros(0, np.uint64)
+        blank = np.zeros(SKETCH, np.int64)
+        cuts = np.arange(COUNT_FRAGMENTS + 1, dtype=np.uint64)
         with np.errstate(over="ignore"):
             for b in batches:
-                ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+                v, d1, d2, texts = (b.column(i).to_pylist() for i in range(4))
                 for lo, hi in slices(texts):
-                    v, d1, frag, toks = [], [], [], []
-                    for i, h in zip(ids[lo:hi], shingle_sets(texts[lo:hi], k), strict=True):
-                        part = (h >> U(40)) * U(COUNT_FRAGMENTS) >> U(24)
-                        at = np.searchsorted(part, np.arange(COUNT_FRAGMENTS + 1, dtype=np.uint64))
-                        dig = _digests(h)[0]
+                    at, frag, toks, sigs, sketch = [], [], [], [], []
+                    for i, h in enumerate(shingle_sets(texts[lo:hi], k), lo):
+                        if _digests(h) != (d1[i], d2[i]):
+                            continue
+                        ends = np.searchsorted((h >> U(40)) * U(COUNT_FRAGMENTS) >> U(24), cuts)
                         for f in range(COUNT_FRAGMENTS):
-                            v.append(i)
-                            d1.append(dig)
+                            at.append(v[i])
                             frag.append(f)
-                            toks.append(h[at[f] : at[f + 1]].view(np.int64))
-                    off = np.zeros(len(toks) + 1, dtype=np.int32)
-                    np.cumsum([len(t) for t in toks], out=off[1:])
-                    flat = np.concatenate(toks) if toks else np.zeros(0, np.int64)
+                            toks.append(h[ends[f] : ends[f + 1]])
+                            sigs.append(none if f else signatures(h, schemes))
+                            sketch.append(blank if f else _sketch(h))
+                    sk = np.stack(sketch) if sketch else np.zeros((0, SKETCH), np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(v, pa.int64()),
-                            pa.array(d1, pa.int64()),
+                            pa.array(at, pa.int64()),
                             pa.array(frag, pa.int32()),
-                            pa.ListArray.from_arrays(pa.array(off), pa.array(flat)),
+                            _lists(toks),
+                            _lists(sigs),
+                            *[pa.array(np.ascontiguousarray(sk[:, i])) for i in range(SKETCH)],
                         ],
-                        names=["v", "d1", "frag", "toks"],
+                        names=names,
                     )
 
     return run
@@ -185,6 +213,10 @@ def _far_apart(a: str, b: str, num: int, den: int):
     )
 
 
+def _text_hash(text):
+    return F.xxhash64(text.cast("string"))
+
+
 class NgramJoin:
     """One self-join; result() is one row for each document, links() the verified pairs."""
 
@@ -201,7 +233,9 @@ class NgramJoin:
         importable(self.spark)
         self.k, self.num, self.den = words, num, den
         self.docs = docs.select(
-            F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
+            F.col(id_col).cast("long").alias("doc_id"),
+            _text_hash(F.col(text_col)).alias("text_hash"),
+            F.col(text_col).cast("string").alias("text"),
         )
         self.edges: DataFrame | None = None
 
@@ -213,54 +247,76 @@ class NgramJoin:
         both = part.groupBy("a", "b", "na", "nb").agg(F.sum(F.expr("size(array_intersect(ta, tb))")).alias("both"))
         return both.where(F.expr(f"both * {self.den} >= (na + nb - both) * {self.num}")).select("a", "b")
 
+    def _vertices(self, described: DataFrame) -> DataFrame:
+        """(v, d1, d2, n, rep): one vertex for each distinct set; rep is its least (doc_id, text_hash)."""
+        named = described.where("doc_id is not null and n > 0")
+        classes = named.groupBy("d1", "d2").agg(
+            F.first("n").alias("n"), F.min(F.struct("doc_id", "text_hash")).alias("rep")
+        )
+        return materialize(classes.withColumn("v", F.monotonically_increasing_id()), "ngram-classes")
+
+    def _alive(self, described: DataFrame, classes: DataFrame) -> DataFrame:
+        """Vertices that may have a partner: few enough of the n-grams probed are theirs alone."""
+        grams = described.where("doc_id is not null and n > 0").select("d1", F.explode("probe").alias("gram"))
+        own = grams.groupBy("gram").agg(F.min("d1").alias("d1"), F.max("d1").alias("other")).where("d1 = other")
+        own = own.groupBy("d1").agg(F.count("*").alias("own"))
+        few = F.expr(f"coalesce(own, 0L) * {self.den} <= n * {self.den - self.num}")
+        return materialize(classes.join(own, "d1", "left").where(few).drop("own"), "ngram-alive")
+
+    def _open(self, members: DataFrame, comp: DataFrame | None) -> DataFrame:
+        """(sig, v, c) of buckets that hold more than one component c."""
+        if comp is None:
+            return members.withColumn("c", F.col("v"))
+        m = members.join(comp, "v", "left").select("sig", "v", F.coalesce("component", "v").alias("c"))
+        open_ = m.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
+        return materialize(m.join(materialize(open_, "ngram-open-sigs"), "sig", "left_semi"), "ngram-open")
+
     def run(self) -> DataFrame:
-        p = ", ".join(f"p{i} long" for i in range(SKETCH))
+        """(doc_id, text_hash, n_shingles, component_id, best): best is the least (doc_id, text_hash) of the component."""
         described = materialize(
             self.docs.mapInArrow(
                 _describe(self.k, self.num, self.den),
-                f"doc_id long, d1 long, d2 long, n long, sigs array<long>, {p}",
+                "doc_id long, text_hash long, d1 long, d2 long, n long, probe array<long>",
             ),
             "ngram-docs",
         )
-        named = described.where("doc_id is not null and n > 0")
-        classes = named.groupBy("d1", "d2").agg(
-            F.min("doc_id").alias("v"), F.first("n").alias("n"), *[F.first(f"p{i}").alias(f"p{i}") for i in range(SKETCH)]
+        classes = self._vertices(described)
+        alive = self._alive(described, classes)
+        slim = materialize(described.drop("probe"), "ngram-slim")
+        drop_path(described)
+
+        wanted = alive.select(
+            "v", "d1", "d2", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_hash").alias("text_hash")
+        )
+        texts = self.docs.join(broadcast_if_small(wanted, limit=WANTED_ROWS), ["doc_id", "text_hash"])
+        p = ", ".join(f"p{i} long" for i in range(SKETCH))
+        detail = texts.select("v", "d1", "d2", "text").mapInArrow(
+            _detail(self.k, self.num, self.den), f"v long, frag int, toks array<long>, sigs array<long>, {p}"
         )
-        classes = materialize(classes, "ngram-classes")
-        rows = named.select("d1", F.explode("sigs").alias("sig"))
-        # rows of equal texts count too; distinct() below takes them together
-        met = rows.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig")
+        # a row that is repeated gives the same fragments again
+        detail = materialize(detail.dropDuplicates(["v", "frag"]), "ngram-detail")
+        segs = detail.select("v", "frag", "toks")
+        sketches = detail.where("frag = 0").select("v", *[f"p{i}" for i in range(SKETCH)])
+        rows = detail.where("frag = 0").select("v", F.explode("sigs").alias("sig"))
+        met = rows.groupBy("sig").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo <> hi").select("sig")
         met = materialize(met, "ngram-met")
-        members = rows.join(broadcast_if_small(met, limit=MET_ROWS), "sig").distinct()
-        info = classes.select("d1", "v", "n", *[f"p{i}" for i in range(SKETCH)])
-        members = materialize(members.join(info.select("d1", "v"), "d1").select("sig", "v").distinct(), "ngram-members")
-        wanted = members.select("v").distinct().join(classes.select("v", "d1"), "v")
-        wanted = materialize(wanted, "ngram-wanted")
-        texts = self.docs.join(
-            broadcast_if_small(wanted.select(F.col("v").alias("doc_id"))), "doc_id", "left_semi"
-        ).select("doc_id", "text")
-        segs = texts.mapInArrow(_segments(self.k), "v long, d1 long, frag int, toks array<long>")
-        segs = segs.join(broadcast_if_small(wanted), ["v", "d1"], "left_semi")
-        segs = materialize(segs.dropDuplicates(["v", "frag"]).select("v", "frag", "toks"), "ngram-segments")
-        info = info.drop("d1")
+        members = materialize(rows.join(broadcast_if_small(met, limit=MET_ROWS), "sig", "left_semi"), "ngram-members")
+        info = materialize(
+            members.select("v").distinct().join(alive.select("v", "n"), "v").join(sketches, "v"), "ngram-info"
+        )
         left = info.select([F.col(c).alias("a" if c == "v" else c) for c in info.columns]).alias("l")
         right = info.select([F.col(c).alias("b" if c == "v" else c) for c in info.columns]).alias("r")
 
         comp: DataFrame | None = None
         edges: DataFrame | None = None
         for turn in range(1, LEADER_ROUNDS + 2):
-            m = members
-            if comp is not None:
-                m = m.join(comp, "v", "left").select("sig", "v", F.coalesce("component", "v").alias("c"))
-                open_ = m.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-                m = materialize(m.join(open_.select("sig"), "sig", "left_semi"), "ngram-open")
-            else:
-                m = m.withColumn("c", F.col("v"))
+            m = self._open(members, comp)
             if turn <= LEADER_ROUNDS:
                 # one order for all buckets at first, then another in each bucket
                 h = F.xxhash64("v") if turn == 1 else F.xxhash64("v", "sig", F.lit(turn))
                 lead = m.groupBy("sig").agg(F.min(F.struct(h.alias("h"), "v", "c")).alias("x"))
-                lead = lead.select("sig", F.col("x.v").alias("a"), F.col("x.c").alias("ca"))
+                # written, so that the join below can split a bucket
+                lead = materialize(lead.select("sig", F.col("x.v").alias("a"), F.col("x.c").alias("ca")), "ngram-lead")
                 pairs = m.join(lead, "sig").where("v <> a and c <> ca").select("a", F.col("v").alias("b")).distinct()
                 ok = F.expr(_far_apart("l", "r", self.num, self.den))
                 pairs = pairs.join(left, "a").join(right, "b").where(ok)
@@ -278,26 +334,31 @@ class NgramJoin:
             if turn == 1 or found.limit(1).count():
                 comp = materialize(connected_components(edges), "ngram-components")
         self.edges = edges
-        final = classes.join(comp, "v", "left").select("d1", "d2", F.coalesce("component", "v").alias("c"))
-        slim = materialize(described.select("doc_id", "n", "d1", "d2"), "ngram-slim")
-        # what no later step reads makes room
-        for done in (described, met, members, wanted, segs):
-            drop_path(done)
-        out = slim.join(final, ["d1", "d2"], "left")
-        cid = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("c"))
-        return out.select("doc_id", F.col("n").alias("n_shingles"), cid.alias("component_id"))
+        # vertices are numbered anew in each run; the component goes by its least document
+        final = classes.join(comp, "v", "left").select("d1", "d2", "rep", F.coalesce("component", "v").alias("c"))
+        best = materialize(final.groupBy("c").agg(F.min("rep").alias("best")), "ngram-best")
+        final = materialize(final.join(best, "c").select("d1", "d2", "best"), "ngram-final")
+        out = slim.join(broadcast_if_small(final), ["d1", "d2"], "left")
+        named = F.col("doc_id").isNotNull()
+        cid = F.when(named & (F.col("n") == 0), F.col("doc_id")).when(named, F.col("best.doc_id"))
+        return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), cid.alias("component_id"), "best")
 
 
 def ngram_components(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs; see NgramJoin."""
-    return NgramJoin(docs, **options).run()
+    return NgramJoin(docs, **options).run().select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id; columns unchanged.
+    """docs without the rows of whose component another row is less by (doc_id, text); columns unchanged.
 
-    Rows with a null doc_id are kept, since they have no place in the order.
+    Rows with a null doc_id are kept, since they have no place in the order; so are rows
+    without words.  Of rows with one id each text is judged by itself; rows that agree in id
+    and text are one document and stay or go together.
     """
-    comp = ngram_components(docs, words=words, num=num, den=den)
-    drop = comp.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    found = NgramJoin(docs, words=words, num=num, den=den).run()
+    drop = found.where("doc_id is not null and n_shingles > 0 and not (best <=> struct(doc_id, text_hash))")
+    drop = drop.select(F.col("doc_id").alias("_drop_id"), F.col("text_hash").alias("_drop_hash")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    on = (F.col("_row.doc_id").cast("long") == F.col("_drop_id")) & (_text_hash(F.col("_row.text")) == F.col("_drop_hash"))
+    return rows.join(drop, on, "left_anti").select("_row.*")
