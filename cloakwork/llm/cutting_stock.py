@@ -11,18 +11,21 @@ slots of the patterns in order.
 
 Defined cases: a null or empty text is the end id alone; a document that fills
 sequences exactly has no rest; ties in rank go by id; repeated rows are packed each;
-an empty table gives no pieces; other columns are ignored.
+an empty table gives no pieces; other columns are ignored, whatever their names; a text of
+any length is encoded whole.
 """
 
 from __future__ import annotations
 
+import functools
+import json
 import re
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -51,69 +54,101 @@ def _byte_letters() -> list[str]:
 _AS_LETTERS = str.maketrans(dict(enumerate(_byte_letters())))
 #: Words that normal form, case and splitting leave as they are: lower-case Latin letters.
 _PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff\u0101-\u024f]+")
+#: How a lower-case ASCII word is split; fixed by the tokenizer's file (SPLIT).
+_ASCII_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: The properties of a tokenizer's file on which encoding by words rests; fixed values.
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+NORMAL = [("NFC", None), ("Replace", "\\s+"), ("Lowercase", None)]
+
+
+def _by_words(spec: dict) -> bool:
+    """Whether a tokenizer's file splits at white space and lower-cases, so that words can be encoded alone."""
+    normal = (spec.get("normalizer") or {}).get("normalizers") or []
+    split, level = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}])[:2]
+    model = spec.get("model") or {}
+    return (
+        [(n["type"], (n.get("pattern") or {}).get("Regex")) for n in normal] == NORMAL
+        and (split.get("pattern") or {}).get("Regex") == SPLIT
+        and (split.get("behavior"), split.get("invert")) == ("Removed", True)
+        and (level.get("type"), level.get("add_prefix_space"), level.get("use_regex")) == ("ByteLevel", False, False)
+        and model.get("type") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "fuse_unk"))
+        and all(t["content"].startswith("<|") and not t["normalized"] for t in spec.get("added_tokens", []))
+    )
+
+
+class _Words(dict):
+    """Ids of words, each learned when it is first asked for."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: bytes) -> bytes:
+        got = self[word] = self.learn(word)
+        return got
 
 
 class WordTokenizer:
-    """Ids of texts; words between ASCII white space are encoded once and remembered.
+    """Ids of texts as little-endian 32-bit numbers; words between ASCII white space are encoded once and remembered.
 
-    The tokenizer drops white space and never joins characters across it, so the ids
-    of a text are those of its words in a row.  Nor does it join a letter or digit and
-    the punctuation behind it.  Words of lower-case Latin letters go straight to the
-    vocabulary's model; all others through the whole tokenizer.
+    Where the tokenizer's file says that white space is dropped and parts words (_by_words),
+    the ids of a text are those of its words in a row.  Lower-case Latin words and ASCII
+    words, split as the file says, go straight to the vocabulary's model; all others
+    through the whole tokenizer.  Any other file is used for whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            self.by_words = _by_words(json.load(f))
         self.inner = Tokenizer.from_file(path)
         self.model = self.inner.model
-        self.known: dict[bytes, bytes] = {}
-
-    def _ids(self, word: bytes) -> bytes:
-        got = self.known.get(word)
-        if got is None:
-            text = word.decode("utf-8")
-            if _PLAIN.fullmatch(text) and text == text.lower():
-                ids = [t.id for t in self.model.tokenize(word.decode("latin-1").translate(_AS_LETTERS))]
-            else:
-                ids = self.inner.encode(text, add_special_tokens=False).ids
-            got = self.known[word] = np.array(ids, dtype="<u4").tobytes()
-        return got
+        self.pieces = _Words(self._piece)
+        self.known = _Words(self._learn)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.inner.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_AS_LETTERS))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _learn(self, word: bytes) -> bytes:
+        if word.isalpha():
+            return self._piece(word.decode()) if word.islower() else self._whole(word.decode())
         core = word.rstrip(b".,;:!?")
-        if core and len(core) < len(word) and core[-1:].isalnum():
-            got = self.known[word] = self._ids(core) + self._ids(word[len(core) :])
-            return got
-        return self._ids(word)
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        words: list[bytes] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            if t:
-                b = t.encode("utf-8", "replace")
-                # lower-cased first unless marks that compose, or a special token, may be in it
-                if b"\xcc" not in b and b"\xcd" not in b and b"<|" not in b:
-                    b = b.lower()
-                w = b.split()
-                counts[i] = len(w)
-                words.extend(w)
-        if not words:
-            return [np.zeros(0, np.uint32) for _ in texts]
-        codes, uniq = pd.factorize(np.array(words, dtype=object))
-        if len(self.known) + len(uniq) > CACHE:
-            self.known = {}
-        known = self.known
-        parts = [known.get(w) or self._learn(w) for w in uniq]
-        size = np.array([len(p) // 4 for p in parts], np.int64)
-        pool = np.frombuffer(b"".join(parts), "<u4")
-        first = np.cumsum(size) - size
-        n = size[codes]
-        ends = np.cumsum(n)
-        flat = pool[np.repeat(first[codes] - (ends - n), n) + np.arange(ends[-1])]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        if core and len(core) < len(word) and core[-1:].isalnum() and b"<|" not in word:
+            return self.known[core] + self.known[word[len(core) :]]
+        text = word.decode()
+        if b"<|" in word:
+            return self._whole(text)
+        if word.isascii() and text == text.lower():
+            return b"".join(map(self.pieces.__getitem__, _ASCII_PIECES.findall(text)))
+        if _PLAIN.fullmatch(text) and text == text.lower():
+            return self._piece(text)
+        return self._whole(text)
+
+    def ids(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if not self.by_words:
+            return self._whole(text)
+        if len(self.known) > CACHE or len(self.pieces) > CACHE:
+            self.known.clear()
+            self.pieces.clear()
+        b = text.encode("utf-8", "replace")
+        # lower-cased first unless marks that compose, or a special token, may be in it
+        if b"\xcc" not in b and b"\xcd" not in b and b"<|" not in b:
+            b = b.lower()
+        return b"".join(map(self.known.__getitem__, b.split()))
+
+
+@functools.lru_cache(maxsize=1)
+def tokenizer(path: str) -> WordTokenizer:
+    """One for each worker: what it has learned serves all its tasks."""
+    return WordTokenizer(path)
 
 
 def cut_pieces(
@@ -130,18 +165,18 @@ def cut_pieces(
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + (["ids"] if with_ids else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = None
+        tok = tokenizer(tokenizer_path)
+        end, step = struct.pack("<I", end_id), 4 * capacity
         for b in batches:
-            tok = tok or WordTokenizer(tokenizer_path)
             doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lo, hi in slices(texts):
                 rows: list[list] = [[] for _ in names]
-                for doc, ids in zip(doc_ids[lo:hi], tok.encode(texts[lo:hi]), strict=True):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    for at in range(0, len(ids), capacity):
-                        piece = ids[at : at + capacity]
-                        vals = [doc, at, len(piece), zlib.crc32(piece.tobytes()), len(ids)]
-                        for r, v in zip(rows, [*vals, piece.view("<i4")], strict=False):
+                for i in range(lo, hi):
+                    ids = tok.ids(texts[i]) + end
+                    for at in range(0, len(ids), step):
+                        piece = ids[at : at + step]
+                        vals = [doc_ids[i], at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4]
+                        for r, v in zip(rows, [*vals, np.frombuffer(piece, "<i4")], strict=False):
                             r.append(v)
                 cols = [pa.array(r, pa.int64()) for r in rows[:5]]
                 if with_ids:
