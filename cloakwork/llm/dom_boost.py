@@ -44,7 +44,7 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 SILENT = frozenset(
     "head script style template noscript textarea title select option button input iframe svg canvas object embed"
-    " audio video map form datalist math".split()
+    " audio video datalist label optgroup output progress meter".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -69,7 +69,7 @@ GROUPS = {
 }
 GROUP_OF = {t: i for i, ts in enumerate(GROUPS.values()) for t in ts.split()}
 N_GROUPS = len(GROUPS)
-TAGS = ("p", "div", "section", "article", "main", "nav", "header", "footer", "aside", "ul", "ol", "li", "a", "table", "td", "blockquote", "pre", "h1", "h2", "h3", "figure", "figcaption", "span", "b", "em", "body", "html", "dialog")
+TAGS = ("p", "div", "section", "article", "main", "nav", "header", "footer", "aside", "ul", "ol", "li", "a", "table", "td", "blockquote", "pre", "h1", "h2", "h3", "figure", "figcaption", "span", "b", "em", "body", "html", "dialog", "form", "fieldset")
 TAG_NO = {t: i + 1 for i, t in enumerate(TAGS)}
 FEATURES = 17 + 2 * N_GROUPS
 
@@ -325,7 +325,14 @@ class _Maker:
         return f'<div {r.choice(("class", "id"))}="{r.choice(("cookie-banner", "notice", "consent", "newsletter", "popup", "gdpr", "subscribe-box", "alert", "paywall"))}">{inner}</div>'
 
     def form(self) -> str:
-        return f'<form{self.attr("search", "login", "contact-form")}><label>{self.words(1, 4)}</label><input name="q"><p>{self.words(3, 12)}</p><button>{self.words(1, 2)}</button></form>'
+        r = self.r
+        inner = r.choice((
+            f'<label>{self.words(1, 4)}</label><input name="q"><p>{self.words(3, 12)}</p><button>{self.words(1, 2)}</button>',
+            f'{self.words(1, 6)} <input name="mail"><button>{self.words(1, 2)}</button>',
+            f'<fieldset><legend>{self.words(1, 4)}</legend><p>{self.words(3, 30)}</p><input><p>{self.words(2, 20)}</p></fieldset>',
+            f'<h3>{self.words(1, 5)}</h3><p>{self.words(4, 40)}</p><textarea></textarea><button>{self.words(1, 2)}</button>',
+        ))
+        return f'<form{self.attr("search", "login", "contact-form")}>{inner}</form>'
 
     def remarks(self) -> str:
         r = self.r
@@ -370,7 +377,7 @@ class _Maker:
         r = self.r
         m = " data-main"
         body = [self.main_block() for _ in range(r.choice((1, 2, 3, 5, 8, 12, 18)))]
-        for junk in (self.advert, self.share, self.side, self.notice):
+        for junk in (self.advert, self.share, self.side, self.notice, self.form):
             if r.random() < 0.12:
                 body.insert(r.randint(1, len(body)), "</p>" + junk())
         inner = "".join(body)
@@ -397,6 +404,17 @@ class _Maker:
         if r.random() < 0.2:
             art = f"<div data-main class='{r.choice(('wrapper', 'container', 'row', 'layout'))}'>{art}{after[0]}</div>"
             after[0] = ""
+        k = r.random()
+        action = r.choice((' method="post" action="./page"', ' id="form1" method="post"', ' name="mainform" action="/"', ""))
+        if k < 0.08:
+            # generated sites put the whole page into one form
+            before.insert(0, f"<form data-main{action}>")
+            after.append("</form>")
+        elif k < 0.12:
+            art = f"<form data-main{action}>{art}</form>"
+        elif k < 0.18:
+            # an open form that nothing closes takes in what follows
+            before.append(f"<form data-main{action}><label>{self.words(1, 3)}</label><input name='q'>")
         return f"<html data-main><head><title>{self.words(2, 8)}</title></head><body data-main>{''.join(before)}{art}{''.join(after)}</body></html>"
 
 
