@@ -10,7 +10,9 @@ its first occurrence, so no content is lost altogether.
 
 Defined cases: a null text stays null and has no lines; empty and blank lines, and
 lines with fewer than min_words words, are never removed; a null source counts as
-the site ''; repeated rows are treated alike; other columns pass unchanged.
+the site ''; repeated rows are treated alike; rows with a null id are treated as one
+document a text; an empty table gives an empty one; lines of any length are hashed whole;
+other columns pass unchanged, whatever their names (one named removed_lines is replaced).
 """
 
 from __future__ import annotations
@@ -18,41 +20,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize
+from .common import broadcast_if_small, drop_path, materialize
 
 #: log2 of the sketch size; its standard error is about 1.04 / 2^(LG_K / 2).
 LG_K = 12
 
 
-def spread_lines(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    site_col: str = "source",
-    min_sites: int = 16,
-    min_words: int = 3,
-    margin: float = 0.15,
+def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_words: int) -> DataFrame:
+    """(doc, site, text_hash, pos, line_hash) of the eligible lines, written once for all that read them."""
+    base = docs.where(F.col(text_col).isNotNull()).select(
+        F.col(id_col).alias("doc"),
+        F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"),
+        F.xxhash64(text_col).alias("text_hash"),
+        F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line"),
+    )
+    held = base.where(_eligible("line", min_words))
+    return materialize(held.select("doc", "site", "text_hash", "pos", F.xxhash64("line").alias("line_hash")), "lines-all")
+
+
+def _spread(
+    docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, site_col: str, min_sites: int, margin: float
 ) -> DataFrame:
-    """(line_hash, first_id): lines on at least min_sites sites, and who keeps them."""
-    base = docs.select(
-        F.col(id_col).alias("doc"), F.coalesce(F.col(site_col), F.lit("")).alias("site"), F.col(text_col).alias("body")
-    ).where("body is not null")
-    lines = base.select(
-        "doc",
-        "site",
-        F.xxhash64("body").alias("body_hash"),
-        F.explode(F.array_distinct(F.split("body", "\n", -1))).alias("line"),
-    ).where(_eligible("line", min_words))
-    lines = lines.select(F.xxhash64("line").alias("line_hash"), "doc", "site", "body_hash")
+    """(line_hash, first_id) of the lines on at least min_sites sites."""
     # a text counts at the site of its first copy
-    firsts = base.groupBy(F.xxhash64("body").alias("body_hash")).agg(
-        F.count("*").alias("copies"), F.min(F.struct("doc", "site")).alias("f")
+    base = docs.where(F.col(text_col).isNotNull()).select(
+        F.col(id_col).alias("doc"),
+        F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"),
+        F.xxhash64(text_col).alias("text_hash"),
     )
-    firsts = firsts.where("copies > 1").select("body_hash", F.col("f.doc").alias("fdoc"), F.col("f.site").alias("fsite"))
-    lines = lines.join(broadcast_if_small(firsts), "body_hash", "left").where(
+    firsts = base.groupBy("text_hash").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "site")).alias("f"))
+    firsts = firsts.where("copies > 1").select("text_hash", F.col("f.doc").alias("fdoc"), F.col("f.site").alias("fsite"))
+    firsts = materialize(firsts, "lines-firsts")
+    own = lines.join(broadcast_if_small(firsts), "text_hash", "left").where(
         "fdoc is null or (doc <=> fdoc and site <=> fsite)"
     )
-    sketched = lines.groupBy("line_hash").agg(
+    sketched = own.groupBy("line_hash").agg(
         F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min("doc").alias("first_id"), F.count("*").alias("rows")
     )
     # fewer rows than sites: the line cannot reach the threshold
@@ -63,56 +65,76 @@ def spread_lines(
     sure = spread.where(F.col("sites") > min_sites * (1 + margin))
     near = spread.where(F.col("sites") <= min_sites * (1 + margin)).select("line_hash", "first_id")
     exact = (
-        lines.join(broadcast_if_small(near), "line_hash")
+        own.join(broadcast_if_small(near), "line_hash")
         .select("line_hash", "first_id", "site")
         .distinct()
         .groupBy("line_hash", "first_id")
         .count()
         .where(F.col("count") >= min_sites)
     )
-    return materialize(sure.select("line_hash", "first_id").unionByName(exact.select("line_hash", "first_id")), "lines")
+    found = sure.select("line_hash", "first_id").unionByName(exact.select("line_hash", "first_id"))
+    found = materialize(found, "lines-spread")
+    drop_path(firsts)
+    drop_path(spread)
+    return found
 
 
 def _eligible(line: str, min_words: int):
-    """At least min_words words, counted by the spaces between them."""
-    trimmed = F.regexp_replace(F.trim(F.col(line)), " +", " ")
-    return F.length(trimmed) - F.length(F.translate(trimmed, " ", "")) >= min_words - 1
+    """At least min_words words (one at least), parted by spaces."""
+    return F.col(line).rlike("^ *+" + "[^ ]++ ++" * (min_words - 1) + "[^ ]")
 
 
-def remove_spread_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def spread_lines(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    site_col: str = "source",
+    min_sites: int = 16,
+    min_words: int = 3,
+    margin: float = 0.15,
+) -> DataFrame:
+    """(line_hash, first_id): lines on at least min_sites sites, and who keeps them."""
+    lines = _lines(docs, id_col, text_col, site_col, min_words)
+    return _spread(docs, lines, id_col, text_col, site_col, min_sites, margin)
+
+
+def remove_spread_lines(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    site_col: str = "source",
+    min_sites: int = 16,
+    min_words: int = 3,
+    margin: float = 0.15,
+) -> DataFrame:
     """docs with text_col cleaned, plus removed_lines: how many lines each row lost."""
-    bad = spread_lines(docs, id_col=id_col, text_col=text_col, **options)
-    bad = broadcast_if_small(bad)
-    names = [c for c in docs.columns if c != "removed_lines"]
-    at = docs.where(F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("doc"),
-        F.xxhash64(text_col).alias("body_hash"),
-        F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line"),
-    )
-    at = at.select("doc", "body_hash", "pos", F.xxhash64("line").alias("line_hash"))
-    hits = at.join(bad, "line_hash").distinct()
+    lines = _lines(docs, id_col, text_col, site_col, min_words)
+    bad = _spread(docs, lines, id_col, text_col, site_col, min_sites, margin)
+    hits = lines.join(broadcast_if_small(bad), "line_hash").select("doc", "text_hash", "line_hash", "first_id", "pos")
     lost = (
-        hits.groupBy("doc", "body_hash", "line_hash", "first_id")
+        hits.groupBy("doc", "text_hash", "line_hash", "first_id")
         .agg(F.array_sort(F.collect_set("pos")).alias("at"))
-        .select("doc", "body_hash", F.expr("if(doc <=> first_id, slice(at, 2, size(at)), at)").alias("at"))
-        .groupBy("doc", "body_hash")
+        .select("doc", "text_hash", F.expr("if(doc <=> first_id, slice(at, 2, size(at)), at)").alias("at"))
+        .groupBy("doc", "text_hash")
         .agg(F.flatten(F.collect_list("at")).alias("lost"))
         .where("size(lost) > 0")
     )
     lost = materialize(lost, "lines-lost")
-    rows = docs.select(*names).withColumn("body_hash", F.xxhash64(text_col))
-    lost = lost.select(F.col("doc").alias("lost_doc"), F.col("body_hash").alias("lost_hash"), "lost")
+    drop_path(lines)
+    drop_path(bad)
+    # the row is one struct, so that its columns may have any names
+    names = [c for c in docs.columns if c != "removed_lines"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
     # shuffled at every size: which texts change is not known to be few
     joined = rows.join(
         lost.hint("merge"),
-        F.col(id_col).eqNullSafe(F.col("lost_doc")) & (F.col("body_hash") == F.col("lost_hash")),
+        F.col("_row").getField(id_col).eqNullSafe(F.col("doc")) & (F.xxhash64(F.col("_row").getField(text_col)) == F.col("text_hash")),
         "left",
     )
-    kept = F.expr(
-        f"array_join(filter(split(`{text_col}`, '\\n', -1), (x, i) -> not array_contains(lost, i)), '\\n')"
-    )
+    text = f"_row.`{text_col}`"
+    kept = F.expr(f"array_join(filter(split({text}, '\\n', -1), (x, i) -> not array_contains(lost, i)), '\\n')")
     out = [
-        F.when(F.col("lost").isNull(), F.col(text_col)).otherwise(kept).alias(text_col) if c == text_col else F.col(c)
+        F.when(F.col("lost").isNull(), F.expr(text)).otherwise(kept).alias(c) if c == text_col else F.col("_row").getField(c).alias(c)
         for c in names
     ]
     return joined.select(*out, F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("removed_lines"))
