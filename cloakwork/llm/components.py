@@ -2,7 +2,8 @@
 
 Every step is a shuffle join or an aggregation over (vertex, label) rows, each
 written to the shared folder, so nothing is collected and a lost executor only
-repeats a step.  Hot vertices are pre-aggregated on the map side.
+repeats a step.  The least neighbour of a hot vertex is found with partial aggregation;
+it is written before the neighbours join it, so that adaptive execution can split them.
 """
 
 from __future__ import annotations
@@ -22,11 +23,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     e = e.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
+    state = lambda df: tuple(df.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
     cur = materialize(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
+    before = state(cur)
     for _ in range(max_rounds):
+        if not before[0]:
+            break
         # large star: every neighbour above u points at the least vertex near u
         both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        least = materialize(least, "cc")
         large = (
             both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )
@@ -41,15 +47,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct()
         )
         nxt = materialize(nxt, "cc")
-        stats = nxt.agg(
-            F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")
-        ).first()
-        prev = cur.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
-        drop_path(large)
-        drop_path(cur)
+        after = state(nxt)
+        for done in (least, large, cur):
+            drop_path(done)
         cur = nxt
-        if (stats["n"], stats["x"]) == (prev["n"], prev["x"]):
+        if after == before:
             break
+        before = after
     else:
         raise RuntimeError("components did not settle")
     roots = cur.select(F.col("v").alias("u"), "v").distinct()
