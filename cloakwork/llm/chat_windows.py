@@ -1,9 +1,9 @@
 """Chat formatting in budgeted windows, in DataFrame functions only.
 
 Prefix sums of turn tokens cut each conversation into spans of whole turns.  A turn
-belongs to the window of the stretch of the prefix sum that holds it; a turn that
-reaches into the next stretch is a window of its own, so only a single turn can exceed
-the budget.  Every window starts with the system turn, repeats as many earlier turns
+belongs to the window of the stretch of the prefix sum in which it starts; a stretch is two
+thirds of the budget, and a turn that reaches beyond the budget is a window of its own, so
+only a single turn can exceed it.  Every window starts with the system turn, repeats as many earlier turns
 as fit the history budget, and puts only its own assistant texts under the loss mask,
 so that repeated targets count once.
 
@@ -105,10 +105,11 @@ def format_windows(conversations: DataFrame, budget: int = 1024, history: int =
     turns; the first n_repeated of its n_turns turns stand in earlier windows too.
     """
     turns = _turns(conversations, tokens)
-    room = F.greatest(F.lit(budget) - F.col("systok") - history, F.lit(max(history, budget // 8)))
-    turns = turns.withColumn("room", room.cast("long"))
+    free = F.greatest(F.lit(budget) - F.col("systok") - history, F.lit(max(history, budget // 8))).cast("long")
+    # a stretch leaves a third of the budget to the turn that reaches beyond it
+    turns = turns.withColumn("room", F.greatest(F.floor(free * 2 / 3), F.lit(history).cast("long"), F.lit(1).cast("long")))
     turns = turns.withColumn("stretch", F.floor(F.col("cum") / F.col("room")))
-    crosses = ~F.col("sys") & (F.col("cum") + F.col("tok") > (F.col("stretch") + 1) * F.col("room"))
+    crosses = ~F.col("sys") & (F.col("cum") + F.col("tok") > F.col("stretch") * F.col("room") + F.greatest(free, F.col("room")))
     turns = turns.withColumn("win", F.when(F.col("sys"), F.lit(0)).otherwise(F.col("stretch") * 2 + crosses.cast("long")))
     mark = F.expr(f"concat('{START}', {escape_role('role')}, '\\n')")
     turns = turns.select(
