@@ -10,7 +10,9 @@ base span or a better candidate are left out.
 
 Offsets are code points, ends exclusive.  Defined cases: a null text is treated as
 empty; without candidates the span list is empty; equal scores go to the longer, then
-to the earlier span; other columns pass unchanged except those named like a result.
+to the earlier span; repeated rows are each searched; an empty table gives an empty one; texts
+of any length are searched whole; other columns pass unchanged, whatever their names, except
+that find_spans() replaces columns named base and spans.
 """
 
 from __future__ import annotations
@@ -39,19 +41,20 @@ BASE_PATTERNS = {
 }
 BASE_GATES = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){12}", "phone": r"\+[0-9]"}
 
-#: kind, pattern of each generator.
+#: kind, pattern of each generator.  Lengths are bounded only where the format itself is: a phone
+#: number has at most 15 digits, an IBAN at most 34 characters.
 GENERATORS = (
     (
         "email",
-        r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64} ?(?:[\[({<] ?at ?[\])}>]|@) ?[a-z0-9-]{1,63}"
-        r"(?: ?(?:[\[({<] ?dot ?[\])}>]|\.) ?[a-z0-9-]{2,63}){1,5}",
+        r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++ ?(?:[\[({<] ?at ?[\])}>]|@) ?[a-z0-9-]++"
+        r"(?: ?(?:[\[({<] ?dot ?[\])}>]|\.) ?[a-z0-9-]{2,}+)++",
     ),
-    ("email", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._-]{1,64} at [a-z0-9-]{1,63}(?: dot [a-z0-9-]{2,63}){1,5}"),
-    ("phone", r"(?<![0-9A-Za-z+./-])(?:00 ?)?\(?[0-9]{2,5}\)?(?:[ ./-]{1,2}\(?[0-9]{2,5}\)?){1,5}(?![0-9A-Za-z])"),
+    ("email", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._-]++ at [a-z0-9-]++(?: dot [a-z0-9-]{2,}+)++"),
+    ("phone", r"(?<![0-9A-Za-z+./-])(?:00 ?)?\(?[0-9]{2,5}\)?(?:[ ./-]{1,2}\(?[0-9]{2,5}\)?){1,7}(?![0-9A-Za-z])"),
     ("phone", r"(?<![0-9A-Za-z+./-])[0-9]{9,13}(?![0-9A-Za-z])"),
     ("ip", r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![0-9A-Za-z:])"),
     ("card", r"(?<![0-9])[0-9]{4}(?:[ ./-]{0,2}[0-9]{4}){2}[ ./-]{0,2}[0-9]{1,7}(?![0-9])"),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{2,4}){3,8}(?![A-Za-z0-9])"),
+    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{2,4}){3,15}(?![A-Za-z0-9])"),
     ("mac", r"(?<![0-9A-Fa-f:-])[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:-])"),
     ("secret", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
@@ -275,12 +278,14 @@ def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with base (the fixed formats) and spans (all), arrays of kind, s, e in order."""
     spark = docs.sparkSession
     score, cut = _fitted(spark.sparkContext.applicationId)
-    keep = [c for c in docs.columns if c not in ("base", "spans", "_text", "_cands")]
-    df = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    keep = [c for c in docs.columns if c not in ("base", "spans")]
+    # the row is one struct, so that its columns may have any names
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("struct<none: int>")
+    df = docs.select(row.alias("_row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     lists = {}
     for kind in BASE:
         lists[kind] = _named(_only_valid(spans_of("_text", BASE_PATTERNS[kind], BASE_GATES[kind]), kind), kind)
-    df = df.select(*keep, "_text", F.concat(*lists.values()).alias("base"), candidates("_text").alias("_cands"))
+    df = df.select("_row", "_text", F.concat(*lists.values()).alias("base"), candidates("_text").alias("_cands"))
     df = df.withColumn("_cands", F.expr(f"transform(_cands, c -> {with_features('c', '_text')})"))
     bar = "case " + " ".join(f"when c.kind = '{k}' then {v!r}D" for k, v in cut.items() if np.isfinite(v)) + " else 1e9D end"
     scored = (
@@ -303,7 +308,7 @@ def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
         f" (a, b) -> case when {place.format('a')} < {place.format('b')} then -1 when {place.format('a')} > {place.format('b')} then 1"
         " when a.s < b.s then -1 when a.s > b.s then 1 else 0 end)"
     )
-    return df.select(*keep, "base", F.expr(order).alias("spans"))
+    return df.select(*[F.col("_row").getField(c).alias(c) for c in keep], "base", F.expr(order).alias("spans"))
 
 
 def listed(spans: str) -> Column:
@@ -313,13 +318,14 @@ def listed(spans: str) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with text_col rewritten: every span, overlapping ones joined, becomes [KIND]."""
-    found = find_spans(docs, text_col)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    found = find_spans(docs.select(row.alias("_in"), F.col(text_col).cast("string").alias("_t")), "_t")
     by_start = "array_sort(spans, (a, b) -> case when a.s < b.s then -1 when a.s > b.s then 1 when a.e > b.e then -1 when a.e < b.e then 1 else 0 end)"
     body = (
         f"aggregate({by_start}, named_struct('pos', 0, 'out', ''), (a, x) -> if(x.s < a.pos,"
         " named_struct('pos', greatest(a.pos, x.e), 'out', a.out),"
-        f" named_struct('pos', x.e, 'out', concat(a.out, substring(`{text_col}`, a.pos + 1, x.s - a.pos), '[', upper(x.kind), ']'))),"
-        f" a -> concat(a.out, substring(`{text_col}`, a.pos + 1)))"
+        " named_struct('pos', x.e, 'out', concat(a.out, substring(_t, a.pos + 1, x.s - a.pos), '[', upper(x.kind), ']'))),"
+        " a -> concat(a.out, substring(_t, a.pos + 1)))"
     )
-    cols = [F.expr(f"if(size(spans) = 0, `{text_col}`, {body})").alias(text_col) if c == text_col else F.col(c) for c in docs.columns]
-    return found.select(*cols)
+    text = F.expr(f"if(size(spans) = 0, _t, {body})")
+    return found.select(*[(text if c == text_col else F.col("_in").getField(c)).alias(c) for c in docs.columns])
