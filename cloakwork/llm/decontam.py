@@ -124,6 +124,9 @@ def _nothing(docs: DataFrame, id_col: str, item_id: str, items: DataFrame) -> Da
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs without those that contain an item; columns unchanged, rows with a null id kept."""
-    bad = contained_items(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("leaked")).distinct()
+    bad = contained_items(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("_leaked")).distinct()
     bad = materialize(bad, "leaks")
-    return docs.join(broadcast_if_small(bad), F.col(id_col) == F.col("leaked"), "left_anti").select(*docs.columns)
+    # the row is one struct, so that its columns may have any names
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    left = rows.join(broadcast_if_small(bad), F.col("_row").getField(id_col) == F.col("_leaked"), "left_anti")
+    return left.select("_row.*")

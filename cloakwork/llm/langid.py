@@ -9,30 +9,32 @@ Only whole texts are labelled, and only the text is an input.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; so is
 every text if there is nothing to learn from; ties go to the language that sorts
-first; repeated rows give repeated results; other columns pass unchanged except
-those named like a result, which are replaced.
+first; repeated rows give repeated results; an empty table gives an empty one; texts of any
+length are read whole; other columns pass unchanged, whatever their names, except that
+predict() replaces columns named like a result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, importable
+from .common import broadcast_if_small, importable, materialize
 from .shingles import slices
 
 WINDOW = 64
 BLOCK = 2048
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter; number signs such as a half or a circled one are none.
+LETTER = regex.compile(r"\p{L}")
 
 
 def squash(x: np.ndarray, s: np.ndarray | None = None, den: np.ndarray | None = None) -> np.ndarray:
@@ -242,12 +244,19 @@ def train(
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     if usable is not None:
         rows = rows.where(usable)
+    # from here on no column of the caller's is there
+    rows = rows.select(
+        F.col(lang_col).cast("string").alias("lang"),
+        F.col(id_col).alias("id"),
+        F.col(text_col).cast("string").alias("text"),
+        F.xxhash64(id_col).alias("h"),
+    )
     rank = W.partitionBy("lang").orderBy("h", "id")
-    ids = rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h"))
     # the rank limit is applied in each task before the shuffle
-    ids = ids.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= per_lang).select("id").distinct()
-    chosen = rows.join(broadcast_if_small(ids), F.col(id_col) == F.col("id"), "left_semi")
-    chosen = chosen.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h"))
+    ids = rows.select("lang", "id", "h").withColumn("r", F.row_number().over(rank)).where(F.col("r") <= per_lang)
+    # written: at most per_lang rows of each language
+    ids = materialize(ids.select("id").distinct(), "lang-chosen")
+    chosen = rows.join(broadcast_if_small(ids), "id", "left_semi").select("lang", "text", "h")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -351,6 +360,7 @@ def reject_unknown(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
     net = train(docs, ~held_out())
     if net is None:
         return docs
-    scored = predict(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")), net)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = predict(docs.select(row.alias("row"), F.col("text").alias("text")), net)
     keep = (F.col("lang_pred") != "und") & (F.col("score") >= min_score)
     return scored.where(keep).select("row.*")

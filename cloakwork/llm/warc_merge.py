@@ -11,9 +11,10 @@ Archives and runs lie in the folder that driver and executors share.  A task nam
 files afresh and reports them with its result, so files of lost attempts are ignored.
 
 Defined cases: null html is an empty payload; a null url is about:blank; rows with a
-null id are responses; repeated rows are separate records, of which the first one in
-order is the response; a page without time is captured at EPOCH plus its id in seconds;
-an empty table gives no archive; other columns are ignored.
+null id are responses; repeated rows (one id, one payload) are separate records, all of them
+responses if theirs is the least id of the payload; a page without a time that can be read
+is captured at EPOCH plus its id in seconds; an empty table gives no archive; payloads of
+any length are written whole; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -94,13 +95,19 @@ def first_captures(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return later.select("id", "sha", "first").distinct()
 
 
-def write_archives(pages: DataFrame, min_bytes: int = 0, where: str | None = None) -> DataFrame:
-    """(archive, records): the archives written, one or more for each task."""
+def write_archives(
+    pages: DataFrame, min_bytes: int = 0, where: str | None = None, captured_col: str | None = None
+) -> DataFrame:
+    """(archive, records): the archives written, one or more for each task.
+
+    captured_col names a column of capture times, a timestamp or text that reads as one.
+    """
     spark = pages.sparkSession
     importable(spark)
     where = where or new_path(spark, "warc")
-    cols = pages.columns
-    when = F.col("captured").cast("string") if "captured" in cols else F.lit(None).cast("string")
+    when = F.lit(None).cast("string")
+    if captured_col is not None:
+        when = F.date_format(F.try_to_timestamp(F.col(captured_col).cast("string")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     later = materialize(first_captures(pages, min_bytes), "warc-revisits")
     body = F.coalesce(F.col("html"), F.lit(""))
     src = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), when.alias("captured"), body.alias("html"))
@@ -400,6 +407,6 @@ def merge_runs(spark: SparkSession, runs: DataFrame) -> DataFrame:
     return jobs.mapInArrow(merge, COLUMNS + ", range long, place long")
 
 
-def capture_histories(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+def capture_histories(pages: DataFrame, min_bytes: int = 0, captured_col: str | None = None) -> DataFrame:
     """Write pages to archives, read them back and merge their indexes."""
-    return merge_runs(pages.sparkSession, index_runs(write_archives(pages, min_bytes)))
+    return merge_runs(pages.sparkSession, index_runs(write_archives(pages, min_bytes, captured_col=captured_col)))
