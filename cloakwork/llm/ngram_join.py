@@ -24,8 +24,9 @@ fragments, and everything is done by fragment:
 Links are only needed between components that are not joined yet: each bucket
 first compares its members with one leader (LEADER_ROUNDS times, with other leaders), and
 only members of buckets that still hold several components are compared with each
-other, after a parity sketch has excluded pairs that differ too much (the number of
-odd cells in which two sketches differ never exceeds the real difference).
+other, after parity sketches have excluded pairs that differ too much (the number of
+odd cells in which two sketches differ never exceeds the real difference): one of fixed
+length, and for long sets one that is as long as they need.
 
 Defined cases: a null or empty text, or one without words, has no n-grams and
 links with nothing; rows whose id is null have no component; repeated rows give
@@ -57,6 +58,8 @@ LEADER_ROUNDS = 3
 MET_ROWS = 1_000_000
 #: Vertices that may be broadcast to the texts: five longs each, some 50 MB as a hash table.
 WANTED_ROWS = 500_000
+#: N-grams from which a set has a wide sketch too.
+WIDE_FROM = 512
 #: Share of the order that is probed beyond the share by which two linked sets may differ.
 PROBE_MARGIN = 0.1
 
@@ -122,6 +125,15 @@ def _sketch(h: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def _wide(h: np.ndarray) -> np.ndarray:
+    """A parity sketch of two cells or more for each n-gram, so that it tells long sets apart."""
+    if len(h) <= WIDE_FROM:
+        return np.zeros(0, np.uint64)
+    longs = 1 << (-(-len(h) // 32) - 1).bit_length()
+    bits = np.bincount((h & U(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.uint64)
+
+
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     """A column of lists of longs."""
     off = np.zeros(len(parts) + 1, dtype=np.int32)
@@ -167,7 +179,7 @@ def _detail(k: int, num: int, den: int):
     The row of fragment 0 also has signatures and sketch.  Rows whose text is not the one
     of the vertex (another text under the same id) give nothing.
     """
-    names = ["v", "frag", "toks", "sigs", *[f"p{i}" for i in range(SKETCH)]]
+    names = ["v", "frag", "toks", "sigs", "wide", *[f"p{i}" for i in range(SKETCH)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schemes = Schemes(num, den)
@@ -178,7 +190,7 @@ def _detail(k: int, num: int, den: int):
             for b in batches:
                 v, d1, d2, texts = (b.column(i).to_pylist() for i in range(4))
                 for lo, hi in slices(texts):
-                    at, frag, toks, sigs, sketch = [], [], [], [], []
+                    at, frag, toks, sigs, wide, sketch = [], [], [], [], [], []
                     for i, h in enumerate(shingle_sets(texts[lo:hi], k), lo):
                         if _digests(h) != (d1[i], d2[i]):
                             continue
@@ -188,6 +200,7 @@ def _detail(k: int, num: int, den: int):
                             frag.append(f)
                             toks.append(h[ends[f] : ends[f + 1]])
                             sigs.append(none if f else signatures(h, schemes))
+                            wide.append(none if f else _wide(h))
                             sketch.append(blank if f else _sketch(h))
                     sk = np.stack(sketch) if sketch else np.zeros((0, SKETCH), np.int64)
                     yield pa.RecordBatch.from_arrays(
@@ -196,6 +209,7 @@ def _detail(k: int, num: int, den: int):
                             pa.array(frag, pa.int32()),
                             _lists(toks),
                             _lists(sigs),
+                            _lists(wide),
                             *[pa.array(np.ascontiguousarray(sk[:, i])) for i in range(SKETCH)],
                         ],
                         names=names,
@@ -239,6 +253,18 @@ class NgramJoin:
         )
         self.edges: DataFrame | None = None
 
+    def _closer(self, pairs: DataFrame, wide: DataFrame) -> DataFrame:
+        """pairs without those of two long sets that their wide sketches tell apart."""
+        both = F.least("na", "nb") > WIDE_FROM
+        long_ = pairs.where(both).join(wide.select(F.col("v").alias("a"), F.col("wide").alias("wa")), "a")
+        long_ = long_.join(wide.select(F.col("v").alias("b"), F.col("wide").alias("wb")), "b")
+        # a sketch of twice the length is folded; lengths that differ more are left to the exact count
+        half = "zip_with(slice({0}, 1, size({1})), slice({0}, size({1}) + 1, size({1})), (x, y) -> x ^ y)"
+        fold = "if(size({0}) > size({1}), " + half + ", {0})"
+        odd = f"aggregate(zip_with({fold.format('wa', 'wb')}, {fold.format('wb', 'wa')}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+        near = f"greatest(size(wa), size(wb)) > 2 * least(size(wa), size(wb)) or {odd} * {self.num} <= {self.den - self.num} * least(na, nb)"
+        return pairs.where(~both).unionByName(long_.where(near).drop("wa", "wb"))
+
     def _verified(self, pairs: DataFrame, segs: DataFrame) -> DataFrame:
         """pairs (a, b, na, nb) of which the summed partial overlaps reach the threshold."""
         left = segs.select(F.col("v").alias("a"), "frag", F.col("toks").alias("ta"))
@@ -291,11 +317,12 @@ class NgramJoin:
         texts = self.docs.join(broadcast_if_small(wanted, limit=WANTED_ROWS), ["doc_id", "text_hash"])
         p = ", ".join(f"p{i} long" for i in range(SKETCH))
         detail = texts.select("v", "d1", "d2", "text").mapInArrow(
-            _detail(self.k, self.num, self.den), f"v long, frag int, toks array<long>, sigs array<long>, {p}"
+            _detail(self.k, self.num, self.den), f"v long, frag int, toks array<long>, sigs array<long>, wide array<long>, {p}"
         )
         # a row that is repeated gives the same fragments again
         detail = materialize(detail.dropDuplicates(["v", "frag"]), "ngram-detail")
         segs = detail.select("v", "frag", "toks")
+        wide = detail.where("frag = 0").select("v", "wide")
         sketches = detail.where("frag = 0").select("v", *[f"p{i}" for i in range(SKETCH)])
         rows = detail.where("frag = 0").select("v", F.explode("sigs").alias("sig"))
         met = rows.groupBy("sig").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo <> hi").select("sig")
@@ -329,7 +356,10 @@ class NgramJoin:
                     F.col("x.v").alias("a"), F.col("y.v").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")
                 )
                 pairs = pairs.distinct()
-            found = materialize(self._verified(pairs, segs), "ngram-links")
+            pairs = materialize(pairs, "ngram-pairs")
+            close = materialize(self._closer(pairs, wide), "ngram-close")
+            found = materialize(self._verified(close, segs), "ngram-links")
+            drop_path(pairs)
             edges = found if edges is None else edges.unionByName(found)
             if turn == 1 or found.limit(1).count():
                 comp = materialize(connected_components(edges), "ngram-components")

@@ -48,6 +48,17 @@ def test_against_brute_force(spark, words):
         assert sorted(map(tuple, got.collect())) == brute(rows, k, num, 100)
 
 
+def test_long_sets(spark, words):
+    """Sets with wide sketches of one and of two lengths, around the threshold."""
+    texts = []
+    for size in (700, 1020, 1500):
+        base = words.text(size).split()
+        texts += [near(words, base, e) for e in (0, 5, 20, 30, 35, 40, 60, 200)] + [" ".join(base[: size - size // 6])]
+    rows = list(enumerate(texts))
+    got = ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), words=5, num=80, den=100)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 5, 80, 100)
+
+
 def test_groups_and_repeats(spark, words):
     base = words.text(120).split()
     rows = [(i, near(words, base, i % 4)) for i in range(60)] + [(i + 100, " ".join(base)) for i in range(40)]
