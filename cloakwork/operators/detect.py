@@ -9,14 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import DEFAULT, Lexicons
 from ..functions.spans import PII_TYPES, SPANS, empty_spans
-from ..functions.text import normalize, tokenize
+from ..functions.text import normalize, script_of, tokenize, words
 from .iban import find_ibans
 from .identity import Mapping, link_name_parts, resolve_identities, sanitize_text
 from .namedb import to_lookup
@@ -25,6 +26,8 @@ from .structured import DETECTORS, detector_sql
 
 MAPPING = "array<struct<placeholder: string, original: string, type: string, identity_id: int>>"
 IDENTITIES = "array<struct<id: int, label: string, placeholders: array<string>>>"
+#: Bytes of text that a worker holds as Python objects at a time.
+SLICE_BYTES = 2_000_000
 #: Without a match no IBAN can be there.
 IBAN_GATE = r"[A-Z]{2} ?[0-9]{2}(?: ?[A-Z0-9]){10}"
 #: Without a capital letter, or a letter of a caseless script, no name can start.
@@ -41,22 +44,22 @@ def find_people(text: str, emails: list[Span], names: Dictionary, least: float,
     return out + find_variants(text, out, lex) + find_url_names(text, names, lex)
 
 
-def _as_rows(spans: Iterable[Span]) -> list[dict]:
+def as_rows(spans: Iterable[Span]) -> list[dict]:
     return [s.__dict__ for s in spans]
 
 
-_SPAN_ARROW = pa.list_(
+SPAN_ARROW = pa.list_(
     pa.struct(
         [("start", pa.int32()), ("end", pa.int32()), ("type", pa.string()), ("text", pa.string()), ("confidence", pa.float64()), ("source", pa.string())]
     )
 )
-_MAPPING_ARROW = pa.list_(
+MAPPING_ARROW = pa.list_(
     pa.struct([("placeholder", pa.string()), ("original", pa.string()), ("type", pa.string()), ("identity_id", pa.int32())])
 )
-_IDENTITY_ARROW = pa.list_(pa.struct([("id", pa.int32()), ("label", pa.string()), ("placeholders", pa.list_(pa.string()))]))
+IDENTITY_ARROW = pa.list_(pa.struct([("id", pa.int32()), ("label", pa.string()), ("placeholders", pa.list_(pa.string()))]))
 
 
-def _add_columns(df: DataFrame, inputs: list[str], made: dict[str, tuple[str, pa.DataType]], work) -> DataFrame:
+def add_columns(df: DataFrame, inputs: list[str], made: dict[str, tuple[str, pa.DataType]], work) -> DataFrame:
     """df with the columns of made; work turns the values of inputs in a row into a tuple of them.
 
     Other columns pass through as Arrow data without becoming Python objects.
@@ -67,22 +70,33 @@ def _add_columns(df: DataFrame, inputs: list[str], made: dict[str, tuple[str, pa
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"`{n}` {k}" for n, (k, _) in made.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [work(*vals) for vals in zip(*(b.column(i).to_pylist() for i in at), strict=True)]
-            extra = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*keep, *made])
+        for whole in batches:
+            for b in _bounded(whole, at[0]):
+                rows = [work(*vals) for vals in zip(*(b.column(i).to_pylist() for i in at), strict=True)]
+                extra = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*keep, *made])
 
     return df.mapInArrow(run, schema)
 
 
-def resolve(spans: str) -> Column:
-    """Spans that overlap no better one, by start.
+def _bounded(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """batch in slices of about SLICE_BYTES of its column text; a longer text is a slice of its own."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < batch.num_rows:
+        done = size[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(size, done + SLICE_BYTES, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def resolve_sql(spans: str) -> str:
+    """SQL of the spans that overlap no better one, by start.
 
     Better is: more confident, longer, earlier, found earlier in the array.
     """
-    ranked = f"transform({spans}, (x, i) -> named_struct('x', x, 'i', i))"
     ranked = (
-        f"array_sort({ranked}, (a, b) -> case when a.x.confidence > b.x.confidence then -1"
+        "array_sort(transform(v, (x, i) -> named_struct('x', x, 'i', i)), (a, b) -> case when a.x.confidence > b.x.confidence then -1"
         " when a.x.confidence < b.x.confidence then 1 when a.x.end - a.x.start > b.x.end - b.x.start then -1"
         " when a.x.end - a.x.start < b.x.end - b.x.start then 1 when a.x.start < b.x.start then -1"
         " when a.x.start > b.x.start then 1 else a.i - b.i end)"
@@ -91,7 +105,13 @@ def resolve(spans: str) -> Column:
         f"aggregate({ranked}, cast(array() as {SPANS}), (a, y) -> if(exists(a, z -> z.start < y.x.end and y.x.start < z.end),"
         " a, array_append(a, y.x)))"
     )
-    return F.expr(f"if(size({spans}) < 2, {spans}, array_sort({kept}, (a, b) -> a.start - b.start))")
+    # the array is named once, so that what makes it is not run again
+    return f"transform(array({spans}), v -> if(size(v) < 2, v, array_sort({kept}, (a, b) -> a.start - b.start)))[0]"
+
+
+def resolve(spans: str) -> Column:
+    """resolve_sql() of a column."""
+    return F.expr(resolve_sql(spans))
 
 
 def _wanted(types: Iterable[str] | None) -> frozenset[str]:
@@ -156,12 +176,12 @@ def detect(
             if text is None:
                 return ([],)
             found = find_ibans(text) if "IBAN" in deep else []
-            found += find_people(text, _spans_of(seeds), lookup.value, min_confidence, lexicons) if "PERSON" in deep else []
-            return (_as_rows(found),)
+            found += find_people(text, spans_of(seeds), lookup.value, min_confidence, lexicons) if "PERSON" in deep else []
+            return (as_rows(found),)
 
         out = out.withColumn("_live", _live(text_col, deep))
         out = out if "PERSON" in want else out.withColumn("_seeds", empty_spans())
-        out = _add_columns(out, ["_live", "_seeds"], {"_deep": (SPANS, _SPAN_ARROW)}, work)
+        out = add_columns(out, ["_live", "_seeds"], {"_deep": (SPANS, SPAN_ARROW)}, work)
     order = []
     for kind in PII_TYPES:
         if kind == "IBAN" and kind in deep:
@@ -182,15 +202,19 @@ def resolve_spans(spans: list[Span]) -> list[Span]:
     return sorted(kept, key=lambda s: s.start)
 
 
+def redact_sql(text: str, spans: str) -> str:
+    """SQL of the text with [TYPE] in place of every span."""
+    return (
+        f"aggregate({spans}, named_struct('at', 0, 'out', ''), (a, x) -> named_struct('at', x.end, 'out',"
+        f" concat(a.out, substring({text}, a.at + 1, x.start - a.at), '[', x.type, ']')),"
+        f" a -> concat(a.out, substring({text}, a.at + 1)))"
+    )
+
+
 def redact(df: DataFrame, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
     """df with sanitized: its text with [TYPE] in place of every span; JVM only."""
     t = f"`{text_col}`"
-    body = (
-        f"aggregate({spans_col}, named_struct('at', 0, 'out', ''), (a, x) -> named_struct('at', x.end, 'out',"
-        f" concat(a.out, substring({t}, a.at + 1, x.start - a.at), '[', x.type, ']')),"
-        f" a -> concat(a.out, substring({t}, a.at + 1)))"
-    )
-    return df.withColumn("sanitized", F.expr(f"if(size({spans_col}) = 0, {t}, {body})"))
+    return df.withColumn("sanitized", F.expr(f"if(size({spans_col}) = 0, {t}, {redact_sql(t, spans_col)})"))
 
 
 def mapping_rows(df: DataFrame, id_col: str, spans_col: str = "spans") -> DataFrame:
@@ -211,7 +235,7 @@ def _pseudonymize(text: str, spans: list[Span], lex: Lexicons) -> dict:
     return {"sanitized": out, "mapping": [m.__dict__ for m in rows], "identities": [i.__dict__ for i in found]}
 
 
-def _spans_of(rows) -> list[Span]:
+def spans_of(rows) -> list[Span]:
     return [Span(int(r["start"]), int(r["end"]), r["type"], r["text"], r["confidence"], r["source"]) for r in rows]
 
 
@@ -263,25 +287,25 @@ def _sanitize_pseudonymized(
     def work(text, live, some, mail, extra):
         if text is None:
             return [], None, [], []
-        all_ = _spans_of(some)
+        all_ = spans_of(some)
         if live is not None:
             all_ += find_ibans(text) if "IBAN" in deep else []
-            all_ += find_people(text, _spans_of(mail), lookup.value, min_confidence, lex) if "PERSON" in deep else []
+            all_ += find_people(text, spans_of(mail), lookup.value, min_confidence, lex) if "PERSON" in deep else []
         # equal spans keep the order of registration, those from elsewhere come last
-        all_ = sorted(all_, key=lambda s: place[s.type]) + _spans_of(extra)
+        all_ = sorted(all_, key=lambda s: place[s.type]) + spans_of(extra)
         spans = resolve_spans([s for s in all_ if s.confidence >= min_confidence])
         done = _pseudonymize(text, spans, lex)
-        return _as_rows(spans), done["sanitized"], done["mapping"], done["identities"]
+        return as_rows(spans), done["sanitized"], done["mapping"], done["identities"]
 
     inputs = {"_live": live, "_found": found, "_mails": seeds, "_extra": _extra(extra_spans, want)}
     out = out.select(*keep, *[c.alias(k) for k, c in inputs.items()])
     kinds = {
-        "spans": (SPANS, _SPAN_ARROW),
+        "spans": (SPANS, SPAN_ARROW),
         "sanitized": ("string", pa.string()),
-        "mapping": (MAPPING, _MAPPING_ARROW),
-        "identities": (IDENTITIES, _IDENTITY_ARROW),
+        "mapping": (MAPPING, MAPPING_ARROW),
+        "identities": (IDENTITIES, IDENTITY_ARROW),
     }
-    return _add_columns(out, [text_col, *inputs], kinds, work).select(*keep, *made)
+    return add_columns(out, [text_col, *inputs], kinds, work).select(*keep, *made)
 
 
 def segments(df: DataFrame, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
@@ -304,16 +328,28 @@ def count_by_type(df: DataFrame, spans_col: str = "spans") -> DataFrame:
     return df.select(F.explode(spans_col).alias("x")).groupBy("x.type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type")
 
 
-def token_table(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """(id, text, start, end, script) of all words."""
-    kind = "array<struct<text: string, start: int, end: int, script: string>>"
+def word_table(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """(id, text, script) of all words; JVM only."""
+    rows = df.select(F.col(id_col), F.explode(words(text_col)).alias("_word"))
+    return rows.select(id_col, F.col("_word").alias("text"), script_of("_word").alias("script"))
 
-    @F.pandas_udf(kind)
-    def words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda t: [x._asdict() for x in tokenize(t)] if t is not None else [])
 
-    return df.select(id_col, F.explode(words(F.col(text_col))).alias("x")).select(id_col, "x.*")
+def token_table(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """(id, text, start, end, script) of all words; word_table() does without offsets."""
+    fields = ["_id", "text", "start", "end", "script"]
+    kind = df.select(id_col).schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in _bounded(whole, 1):
+                found = [tokenize(t) if t is not None else [] for t in b.column(1).to_pylist()]
+                at = np.repeat(np.arange(len(found)), [len(f) for f in found])
+                cols = list(zip(*(t for f in found for t in f), strict=True)) or [()] * 4
+                kinds = (pa.string(), pa.int32(), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *map(pa.array, cols, kinds)], names=fields)
+
+    out = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    return out.mapInArrow(run, f"_id {kind}, text string, start int, end int, script string").withColumnRenamed("_id", id_col)
 
 
 def detect_text(text: str, names: Dictionary | None = None, least: float = 0.5) -> list[Span]:

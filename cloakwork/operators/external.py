@@ -6,8 +6,11 @@ import json
 import re
 
 import regex
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..functions.spans import PII_TYPES
+from ..functions.spans import PII_TYPES, SPANS
+from .detect import SPAN_ARROW, add_columns, as_rows
 from .names import Span
 
 
@@ -53,5 +56,29 @@ def findings_to_spans(text: str, findings: list[tuple[str, str]], confidence: fl
     return list(out.values())
 
 
+def add_manual_spans(df: DataFrame, entries: list[tuple[str, str]] | str, text_col: str = "text", out_col: str = "manual") -> DataFrame:
+    """df with out_col, the manual spans of its text.
+
+    entries is one list of (type, value) for all rows, or the name of a column
+    array<struct<type, value>>.  Pass out_col to detect() as extra_spans.
+    """
+    rows = isinstance(entries, str)
+
+    def work(text, own=None):
+        pairs = [(e["type"], e["value"]) for e in own or () if e["value"] is not None] if rows else entries
+        return (as_rows(manual_spans(text, pairs)) if text is not None else [],)
+
+    return add_columns(df, [text_col, *([entries] if rows else [])], {out_col: (SPANS, SPAN_ARROW)}, work)
+
+
+def add_findings(df: DataFrame, answer_col: str, text_col: str = "text", confidence: float = 0.6, out_col: str = "findings") -> DataFrame:
+    """df with out_col, the spans that a model's answer in answer_col names."""
+
+    def work(text, answer):
+        return (as_rows(findings_to_spans(text, parse_findings(answer), confidence)) if text is not None else [],)
+
+    return add_columns(df, [text_col, answer_col], {out_col: (SPANS, SPAN_ARROW)}, work)
+
+
 def is_loopback_url(url: str) -> bool:
     return re.match(r"(?i)https?://(?:[^/@]*@)?(?:localhost|127\.0\.0\.1|\[::1\])(?::\d+)?(?:[/?#]|$)", url) is not None

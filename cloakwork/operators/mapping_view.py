@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from .detect import resolve_spans
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .detect import IDENTITIES, IDENTITY_ARROW, MAPPING, MAPPING_ARROW, add_columns, resolve_spans, spans_of
 from .external import manual_spans
 from .identity import Identity, Mapping, link_name_parts, resolve_identities, sanitize_text
 from .names import Span
@@ -90,4 +94,45 @@ def build_mapping_view(
     )
 
 
-__all__ = ["MappingView", "build_mapping_view", "key_of", "resolve_spans"]
+#: What a user may override in a document; any part may be null.
+OVERRIDES = (
+    "struct<disabled: array<string>, assignments: map<string, int>, manual: array<struct<type: string, value: string>>,"
+    " custom: array<struct<id: int, label: string>>>"
+)
+_REMOVED = "array<struct<key: string, type: string, text: string>>"
+_REMOVED_ARROW = pa.list_(pa.struct([("key", pa.string()), ("type", pa.string()), ("text", pa.string())]))
+
+
+def mapping_views(
+    df: DataFrame, text_col: str = "text", spans_col: str = "spans", overrides_col: str | None = None, mode: str = "redact"
+) -> DataFrame:
+    """df with view_text, view_mapping, view_identities and view_removed; overrides_col is of type OVERRIDES."""
+    asked = F.lit(None) if overrides_col is None else F.col(overrides_col)
+    out = df.withColumn("_overrides", asked.cast(OVERRIDES))
+
+    def work(text, spans, asked):
+        if text is None:
+            return None, [], [], []
+        o = asked or {}
+        view = build_mapping_view(
+            text,
+            spans_of(spans or []),
+            mode,
+            frozenset(o.get("disabled") or ()),
+            dict(o.get("assignments") or ()),
+            [(e["type"], e["value"]) for e in o.get("manual") or ()],
+            [(e["id"], e["label"]) for e in o.get("custom") or ()],
+        )
+        removed = [dict(zip(("key", "type", "text"), r, strict=True)) for r in view.removed]
+        return view.text, [m.__dict__ for m in view.rows], [i.__dict__ for i in view.identities], removed
+
+    made = {
+        "view_text": ("string", pa.string()),
+        "view_mapping": (MAPPING, MAPPING_ARROW),
+        "view_identities": (IDENTITIES, IDENTITY_ARROW),
+        "view_removed": (_REMOVED, _REMOVED_ARROW),
+    }
+    return add_columns(out, [text_col, spans_col, "_overrides"], made, work).drop("_overrides")
+
+
+__all__ = ["OVERRIDES", "MappingView", "build_mapping_view", "key_of", "mapping_views", "resolve_spans"]

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
+from ..functions.lexicons import NON_NAMES
+from ..functions.text import WORD, fold, hangul_spellings, script_of
 from .names import Dictionary
 
 #: Names that a driver may gather for the name finder; beyond it, pass a smaller dictionary.
@@ -65,18 +70,52 @@ def cap_by_script(rows: DataFrame, cap: int) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= cap).drop("n")
 
 
-def clean_labels(labels: DataFrame, col: str = "label") -> DataFrame:
-    """Words of harvested labels: brackets cut out, split, lower-cased, letters only."""
-    plain = F.regexp_replace(F.col(col), r"\([^)]*\)", " ")
-    words = labels.select(F.explode(F.split(F.lower(plain), r"[\s,;/]+")).alias("name"))
-    return words.where(F.col("name").rlike(r"^[\p{L}\p{M}]+(?:[-'’][\p{L}\p{M}]+)*+$") & (F.length("name") >= 2)).distinct()
+#: Names kept of each script when a harvest is capped; fixed values.
+CAPS = {
+    "Latin": 150_000, "Cyrillic": 20_000, "Greek": 20_000, "Arabic": 20_000, "Hebrew": 10_000, "Devanagari": 20_000,
+    "Hangul": 15_000, "Bengali": 20_000, "Tamil": 20_000, "Telugu": 20_000, "Gujarati": 20_000, "Kannada": 20_000,
+    "Malayalam": 20_000, "Oriya": 20_000, "Armenian": 20_000, "Georgian": 20_000, "Gurmukhi": 20_000, "Thai": 20_000,
+}
+#: Letters that a romanised or folded variant has at least.
+LEAST_VARIANT = 3
 
 
-def rank_census(csv: DataFrame, col: str, stop: DataFrame, top: int = 50_000) -> DataFrame:
-    """The first top distinct names of a frequency list, without the words of stop (name)."""
-    rows = csv.select(F.lower(F.trim(col)).alias("name"), F.monotonically_increasing_id().alias("rank"))
-    rows = rows.where(F.col("name").rlike(r"^[\p{L}]+(?:[-'’][\p{L}]+)*+$")).groupBy("name").agg(F.min("rank").alias("rank"))
-    return rows.join(stop.select("name"), "name", "left_anti").orderBy("rank").limit(top)
+@F.pandas_udf(ArrayType(StringType()))
+def _spellings(names: pd.Series) -> pd.Series:
+    return names.map(hangul_spellings)
+
+
+def clean_labels(labels: DataFrame, col: str = "label", split: bool = True, stop: Iterable[str] = NON_NAMES) -> DataFrame:
+    """Distinct (script, name) of harvested labels.
+
+    Brackets are cut out, labels split at white space if split, words lower-cased; words of
+    letters with two or more of them stay, unless they are in stop.  Hangul names also come
+    romanised, Latin names without diacritics, if that leaves LEAST_VARIANT letters.
+    """
+    plain = F.trim(F.regexp_replace(F.col(col), r"\s*\([^)]*\)\s*", " "))
+    parts = F.split(plain, r"\s+") if split else F.array(plain)
+    words = labels.select(F.explode(parts).alias("part")).select(F.lower(F.trim("part")).alias("name"))
+    words = words.where(F.col("name").rlike(f"^{WORD}$") & (F.length("name") >= 2)).distinct()
+    words = words.withColumn("script", script_of("name")).where(~F.col("script").isin("Han", "Other"))
+    hangul = words.where("script = 'Hangul'").select(F.explode(_spellings("name")).alias("name"))
+    folded = words.where("script = 'Latin'").select(fold(F.col("name")).alias("name"), F.col("name").alias("own")).where("name <> own")
+    more = hangul.unionByName(folded.select("name")).where(F.length("name") >= LEAST_VARIANT)
+    out = words.select("script", "name").unionByName(more.select(F.lit("Latin").alias("script"), "name"))
+    return out.where(F.col("name").rlike(f"^{WORD}$") & ~F.col("name").isin(*sorted(stop))).distinct()
+
+
+def cap_harvest(rows: DataFrame, caps: dict[str, int] = CAPS) -> DataFrame:
+    """(script, name): the first caps[script] names of each script in the order of names; other scripts go."""
+    limit = F.create_map(*[F.lit(x) for kv in caps.items() for x in kv])[F.col("script")]
+    n = F.row_number().over(W.partitionBy("script").orderBy("name"))
+    return rows.where(limit.isNotNull()).withColumn("n", n).where(F.col("n") <= limit).select("script", "name")
+
+
+def rank_census(rows: DataFrame, stop: Iterable[str] = NON_NAMES, top: int = 50_000) -> DataFrame:
+    """(name, rank): the first top distinct names of a frequency list (name, rank), without the words of stop."""
+    low = rows.select(F.lower(F.trim("name")).alias("name"), "rank")
+    low = low.where(F.col("name").rlike(f"^{WORD}$") & (F.length("name") >= 2) & ~F.col("name").isin(*sorted(stop)))
+    return low.groupBy("name").agg(F.min("rank").alias("rank")).orderBy("rank").limit(top)
 
 
 def metrics(rows: DataFrame) -> DataFrame:
@@ -96,10 +135,12 @@ def bloom_size(n: int, p: float = 1e-4) -> tuple[int, int]:
     return m, max(1, round(m / max(n, 1) * math.log(2)))
 
 
-def to_lookup(rows: DataFrame | None) -> Dictionary:
+def to_lookup(rows: DataFrame | Dictionary | None) -> Dictionary:
     """A dictionary for the name finder; its size is checked before it is gathered."""
     if rows is None:
         return Dictionary(core_rows())
+    if isinstance(rows, Dictionary):
+        return rows
     n = rows.count()
     if n > MAX_NAMES:
         raise ValueError(f"{n} names; at most {MAX_NAMES} fit the name finder")

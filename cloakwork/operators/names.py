@@ -77,15 +77,17 @@ class Dictionary:
         return max(self.exact(p, script) for p in (low, *parts, *roots))
 
 
-class _Folded(dict):
-    """A dictionary of Latin names with a few words known by their folded form."""
+class _Folded:
+    """Latin names plus a few words known by their folded form; the names are not copied."""
 
     def __init__(self, base: dict[str, int], words: frozenset[str]):
-        super().__init__(base)
-        self.words = words
+        self.base, self.words = base, words
+
+    def __len__(self) -> int:
+        return len(self.base) + len(self.words)
 
     def get(self, word, default=0):
-        return CORE if latin_fold(word) in self.words else super().get(word, default)
+        return CORE if latin_fold(word) in self.words else self.base.get(word, default)
 
 
 @dataclass
@@ -143,7 +145,7 @@ class Reader:
         return self.names.tier(self.tokens[i].text, self.tokens[i].script)
 
     def particle(self, i: int) -> bool:
-        return re.sub(r"^['’-]|['’-]$", "", self.low(i)) in self.lex.particles
+        return self.low(i).strip("'’-") in self.lex.particles
 
     def title(self, i: int) -> bool:
         return self.low(i) in self.lex.titles
@@ -283,9 +285,11 @@ class Reader:
         while i < n:
             t = self.tokens[i]
             # without a capital, only caseless scripts and particles can start a name
-            if t.script == "Latin" and t.text[0].islower() and not self.particle(i) and not self.glued(i):
-                i += 1
-                continue
+            if t.script == "Latin" and t.text[0].islower():
+                word = t.text.lower()
+                if word not in self.lex.particles and ("-" not in word or not self.glued(i)):
+                    i += 1
+                    continue
             first = self.start(i, tail)
             if first is None:
                 i += 1

@@ -11,8 +11,8 @@ from ..functions import validators as v
 from ..functions.spans import PII_TYPES
 from ..operators import detect as d
 from ..operators import evaluate, namedb
-from ..operators.structured import detector_sql
 from ..streaming.stream import counts_by_window
+from . import golden
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -257,7 +257,7 @@ _TOKENS = r"""words as (select doc_id, unnest(regexp_extract_all(text, '[\p{L}\p
 
 @query(f"with {_TOKENS} select doc_id, count(*) as n_tokens, count(distinct word) as n_distinct from tokens group by doc_id")
 def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = d.token_table(_table(spark, sf_dir, "documents"), "doc_id")
+    words = d.word_table(_table(spark, sf_dir, "documents"), "doc_id")
     return words.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.countDistinct("text").alias("n_distinct"))
 
 
@@ -266,7 +266,7 @@ def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         from tokens group by 1"""
 )
 def script_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = d.token_table(_table(spark, sf_dir, "documents"), "doc_id")
+    words = d.word_table(_table(spark, sf_dir, "documents"), "doc_id")
     return words.groupBy(F.when(F.col("script") == "Latin", "Latin").otherwise("other").alias("script")).agg(F.count("*").alias("n"))
 
 
@@ -274,7 +274,7 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dictionary made of customers' and parts' text: (script, tier, name)."""
     nation = _table(spark, sf_dir, "nation").select(F.lit("Latin").alias("script"), F.lit("core").alias("tier"), F.col("n_name").alias("name"))
     region = _table(spark, sf_dir, "region").select(F.lit("Latin").alias("script"), F.lit("ext").alias("tier"), F.col("r_name").alias("name"))
-    words = d.token_table(_table(spark, sf_dir, "benchmark"), "item_id").select("script", F.lit("ext").alias("tier"), F.col("text").alias("name"))
+    words = d.word_table(_table(spark, sf_dir, "benchmark"), "item_id").select("script", F.lit("ext").alias("tier"), F.col("text").alias("name"))
     return nation.unionByName(region).unionByName(words)
 
 
@@ -321,7 +321,7 @@ def dict_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         from tokens join dict on lower(word) = name group by tier"""
 )
 def token_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = d.token_table(_table(spark, sf_dir, "documents"), "doc_id").select("script", F.lower("text").alias("word"))
+    words = d.word_table(_table(spark, sf_dir, "documents"), "doc_id").select("script", F.lower("text").alias("word"))
     found = namedb.token_tiers(words, namedb.build_dictionary(_names(spark, sf_dir)))
     return found.groupBy("tier").agg(F.count("*").alias("n"), F.countDistinct("word").alias("words"))
 
@@ -364,34 +364,9 @@ def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts_by_window(_table(spark, sf_dir, "events"), "ts", "event_type")
 
 
-#: Texts with the formats that the tables lack.
-GOLDEN = (
-    "Wire the funds to DE89 3704 0044 0532 0130 00 by Friday.",
-    "The access point reported MAC 00:1A:2B:3C:4D:5E overnight.",
-    "Edge node fe80::1%eth0/64 came online",
-    "Visa ending 1881 was declined.",
-    "Passport No: X1234567 issued.",
-    "Geburtsdatum: 12. März 1985.",
-    "Employee SSN: 123-45-6789 on file.",
-    "The meeting with Kai-Uwe von Braun is confirmed.",
-    "Join here: https://team.example.com/meet/john.smith today.",
-)
-
-
-def golden(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(GOLDEN)), "doc_id long, text string")
-
-
-@query()
-def golden_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spans(golden(spark), "doc_id", list(PII_TYPES))
-
-
-@query()
-def golden_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = "Hans Müller wrote in; reach hmueller@example.com or +49 30 1234567 today. Müller called."
-    out = d.sanitize(spark.createDataFrame([(1, text)], "doc_id long, text string"), mode="pseudonymize")
-    return out.select("doc_id", "sanitized", F.explode("identities").alias("i")).select("doc_id", "sanitized", "i.id", "i.label", F.array_join("i.placeholders", " ").alias("placeholders"))
+for _name, (_run, _sql) in golden.QUERIES.items():
+    QUERIES[_name] = _run
+    ORACLES[_name] = _sql
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -399,4 +374,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymize_documents(spark, sf_dir)
 
 
-__all__ = ["GOLDEN", "ORACLES", "QUERIES", "detector_sql", "flagship", "golden"]
+__all__ = ["ORACLES", "QUERIES", "flagship"]

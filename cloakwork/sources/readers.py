@@ -46,32 +46,44 @@ def pdf_text(content: bytes) -> str:
     return "\n\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages).strip()
 
 
-def extract_text(path: str, content: bytes) -> str:
-    """By extension: DOCX, PDF, or anything else as UTF-8 text."""
+# Media types that are read like their extensions.
+DOCX_TYPE = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
+PDF_TYPE = "application/pdf"
+
+
+def extract_text(path: str, content: bytes, media_type: str | None = None) -> str:
+    """By extension or media type: DOCX, PDF, or anything else as UTF-8 text."""
     low = path.lower()
-    if low.endswith(".docx"):
+    if low.endswith(".docx") or media_type == DOCX_TYPE:
         return docx_text(content)
-    if low.endswith(".pdf"):
+    if low.endswith(".pdf") or media_type == PDF_TYPE:
         return pdf_text(content)
     return content.decode("utf-8", "replace")
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of all files under path; CSV and JSON are plain text."""
+def extract_documents(files: DataFrame, media_type_col: str | None = None) -> DataFrame:
+    """files (path, content, ...) with text in place of content."""
 
     @F.pandas_udf("string")
-    def text_of(paths: pd.Series, contents: pd.Series) -> pd.Series:
-        return pd.Series([extract_text(p, bytes(c)) for p, c in zip(paths, contents, strict=True)], dtype=object)
+    def text_of(paths: pd.Series, contents: pd.Series, kinds: pd.Series) -> pd.Series:
+        return pd.Series([extract_text(p, bytes(c), k) for p, c, k in zip(paths, contents, kinds, strict=True)], dtype=object)
+
+    kind = F.lit(None).cast("string") if media_type_col is None else F.col(media_type_col)
+    return files.withColumn("text", text_of("path", "content", kind)).drop("content")
 
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text) of all files under path; CSV and JSON are plain text."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", text_of("path", "content").alias("text"))
+    return extract_documents(files.select("path", "content"))
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled cases from a JSON array of {text, entities: [{type, text}]}."""
-    schema = "text string, entities array<struct<type: string, text: string>>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path)
-    return rows.withColumn("case", F.xxhash64("text"))
+    """(case, text, entities) of JSON arrays of {text, entities: [{type, text}]}, numbered by file and place."""
+    schema = "array<struct<text: string, entities: array<struct<type: string, text: string>>>>"
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.from_json("value", schema).alias("cases"))
+    rows = whole.select("file", F.posexplode("cases").alias("n", "x"))
+    return rows.select(F.xxhash64("file", "n").alias("case"), "x.text", "x.entities")
 
 
 def read_name_files(spark: SparkSession, path: str) -> DataFrame:
@@ -82,4 +94,28 @@ def read_name_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_census(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", True).csv(path)
+    """(name, rank): the first column of a frequency list in CSV, plain or zipped, in the order of its lines."""
+
+    @F.pandas_udf("array<string>")
+    def firsts(contents: pd.Series) -> pd.Series:
+        out = []
+        for c in contents:
+            c = bytes(c)
+            if c[:2] == b"PK":
+                with zipfile.ZipFile(io.BytesIO(c)) as z:
+                    c = b"\n".join(z.read(n) for n in z.namelist() if n.lower().endswith(".csv"))
+            out.append([line.split(",")[0].strip() for line in c.decode("utf-8", "replace").splitlines()[1:]])
+        return pd.Series(out)
+
+    files = spark.read.format("binaryFile").load(path).select(firsts("content").alias("names"))
+    return files.select(F.posexplode("names").alias("rank", "name")).select("name", "rank")
+
+
+def write_name_files(names: DataFrame, path: str, source: str, license: str) -> None:
+    """path/SCRIPT.json for each script of (script, name): {source, license, script, names}, names sorted.
+
+    A script's names are one array of one row; caps (namedb.cap_harvest) bound them.
+    """
+    rows = names.groupBy("script").agg(F.sort_array(F.collect_set("name")).alias("names"))
+    rows = rows.select(F.lower("script").alias("file"), F.lit(source).alias("source"), F.lit(license).alias("license"), "script", "names")
+    rows.write.mode("overwrite").partitionBy("file").json(path)
