@@ -9,6 +9,7 @@ not the score suffices.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
@@ -37,6 +38,7 @@ class Dictionary:
     def __init__(self, rows: Iterable[tuple[str, str, str]] = ()):
         """rows: (script, tier, name)."""
         self.names: dict[str, dict[str, int]] = {}
+        self._firsts: frozenset[str] | None = None
         for script, tier, name in rows:
             known = self.names.setdefault(script, {})
             name = name.lower()
@@ -58,6 +60,33 @@ class Dictionary:
             t = max(t, known.get(latin_fold(word), 0))
         return t
 
+    def _compounds(self) -> frozenset[str]:
+        """The first runs of letters of names that hold a hyphen or an apostrophe."""
+        if self._firsts is None:
+            whole = (n for known in self.names.values() if isinstance(known, dict) for n in known)
+            self._firsts = frozenset(_LETTERS.match(n)[0] for n in whole if not n.isalpha() and _LETTERS.match(n))
+        return self._firsts
+
+    def may_hold(self, text: str, cues: frozenset[str]) -> bool:
+        """False only if no word of text is in the dictionary, by any of its pieces, and none is a cue."""
+        low = text.lower()
+        if low.isascii():
+            words = set(_ASCII_LETTERS.findall(low))
+        else:
+            words = set(_LETTERS.findall(low))
+            words |= {latin_fold(w) for w in words if not w.isascii()}
+        if "'" in low or "’" in low:
+            words |= {a + b for a, b in _ROOTED.findall(low)}
+        if not words.isdisjoint(cues) or not words.isdisjoint(self._compounds()):
+            return True
+        for known in self.names.values():
+            if isinstance(known, dict):
+                if not known.keys().isdisjoint(words):
+                    return True
+            elif any(known.get(w, 0) for w in words):
+                return True
+        return False
+
     def pieces(self, word: str) -> list[str]:
         """What stands for a word the dictionary does not hold: hyphen parts, else its apostrophe roots."""
         if "-" in word:
@@ -77,6 +106,11 @@ class Dictionary:
         return max(self.exact(p, script) for p in (low, *parts, *roots))
 
 
+_LETTERS = regex.compile(r"[\p{L}\p{M}]+")
+_ASCII_LETTERS = re.compile("[a-z]+")
+_ROOTED = regex.compile(r"([\p{L}\p{M}])['’]([\p{L}\p{M}]+)")
+
+
 class _Folded:
     """Latin names plus a few words known by their folded form; the names are not copied."""
 
@@ -331,7 +365,17 @@ class Reader:
         return out
 
 
+@functools.lru_cache(maxsize=8)
+def cue_words(lex: Lexicons) -> frozenset[str]:
+    """Words without which, and without the dictionary, no name starts."""
+    before = frozenset().union(*(words for words, _ in lex.frames)) if lex.frames else frozenset()
+    whole = lex.titles | lex.roles | lex.role_abbreviations | before
+    return frozenset(m[0] for w in whole if (m := _LETTERS.match(w)))
+
+
 def find_names(text: str, names: Dictionary, least: float = 0.5, lex: Lexicons = DEFAULT) -> list[Span]:
+    if not names.may_hold(text, cue_words(lex)):
+        return []
     return Reader(text, names, lex).find(least)
 
 

@@ -13,6 +13,8 @@ from ..functions import validators as v
 from ..functions.cues import maybe, one_of, word
 from ..functions.spans import B0, B1, PII_TYPES, SPANS, WS, after, as_spans, before, keep, matches, quoted, suffix
 
+#: Characters beside a match that are looked at first.
+EDGE = 64
 #: name -> (type, text column to SQL of its spans)
 DETECTORS: dict[str, tuple[str, Callable[[str], str]]] = {}
 
@@ -24,9 +26,24 @@ def register_detector(kind: str, build: Callable[[str], str], name: str | None =
     DETECTORS[name or kind] = (kind, build)
 
 
+def _left(t: str, run: str, mark: str) -> str:
+    """Whether mark stands before the match x, with only characters of the class run between.
+
+    Looks at EDGE characters first; only if all of them are of the class, at all before x.
+    """
+    end = quoted(f"{mark}{run}*$")
+    return f"if({before(t, EDGE)} rlike {quoted(f'^{run}{{{EDGE}}}$')}, substring({t}, 1, x.s) rlike {end}, {before(t, EDGE)} rlike {end})"
+
+
+def _right(t: str, run: str, mark: str) -> str:
+    """Whether mark stands behind the match x, with only characters of the class run between."""
+    start = quoted(f"^{run}*{mark}")
+    return f"if({after(t, EDGE)} rlike {quoted(f'^{run}{{{EDGE}}}$')}, substring({t}, x.e + 1) rlike {start}, {after(t, EDGE)} rlike {start})"
+
+
 def _ref_marker(t: str) -> str:
     """# or № before the match, with only blanks between."""
-    return f"substring({t}, 1, x.s) rlike '[#№][ \\\\t]*$'"
+    return _left(t, "[ \\t]", "[#№]")
 
 
 EMAIL = (
@@ -54,8 +71,7 @@ def phones(t: str) -> str:
         " and (not x.m like '% %' or x.m rlike '^[0-9]{4} '))"
     )
     near_ip = "(x.m rlike '^[0-9]{1,3}(?:\\\\.[0-9]{1,3}){3}$' and exists(split(x.m, '\\\\.'), o -> int(o) > 255))"
-    left = f"substring({t}, 1, x.s) rlike '[A-Za-z][0-9_-]*$'"
-    right = f"substring({t}, x.e + 1) rlike '^[0-9_-]*[A-Za-z]'"
+    left, right = _left(t, "[0-9_-]", "[A-Za-z]"), _right(t, "[0-9_-]", "[A-Za-z]")
     guards = (
         f"length({digits}) between 7 and 15 and {signal} and not {card} and not {v.date_shaped('x.m')} and not {near_ip}"
         f" and not {v.compact_date_ref('x.m')} and not {left} and not {right} and not {_ref_marker(t)}"
@@ -192,8 +208,9 @@ BIRTHS = _birth_patterns()
 
 
 def births(t: str) -> str:
-    gate = "(?i)birth|born|geb|d[. ]*o[. ]*b"
-    all_ = "concat(" + ", ".join(suffix(matches(t, p, gate), p) for p in BIRTHS) + ")"
+    found = "concat(" + ", ".join(suffix(matches(t, p, "(?i)birth|born|geb|d[. ]*o[. ]*b"), p) for p in BIRTHS) + ")"
+    # no date without a digit
+    all_ = f"if({t} rlike '[0-9]', {found}, cast(array() as array<struct<s: int, e: int, m: string>>))"
     # the first pattern that finds a date at a place wins
     one = (
         f"aggregate({all_}, cast(array() as array<struct<s: int, e: int, m: string>>),"
