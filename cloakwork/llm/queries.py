@@ -38,6 +38,7 @@ def op2_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
         *counts,
         F.sha2(pii_boost.listed("base").cast("binary"), 256).alias("base_sha256"),
         pii_boost.listed("spans").alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 

@@ -7,6 +7,7 @@ import pytest
 
 from cloakwork.llm import chat_windows, decontam, langid, line_spread, pii_boost
 from cloakwork.llm.boost import Boosted, calibrated_threshold
+from tests.llm.pii_sentences import SENTENCES
 
 DATA = "/root/testdata/sf0.01"
 
@@ -74,6 +75,20 @@ def test_every_generator_proposes_by_itself(spark):
     assert [r[0] for r in pii_boost.find_spans(text).select(pii_boost.listed("spans")).collect()] == ["mac:7:24"] * 2
 
 
+def test_spans_of_hand_written_sentences(spark):
+    """Precision and recall on sentences that no training example resembles by construction."""
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(SENTENCES)], "i long, text string")
+    hits = wrong = missed = 0
+    kinds = set()
+    for r in pii_boost.find_spans(df).collect():
+        text, want = SENTENCES[r["i"]]
+        got = {(x["kind"], text[x["s"] : x["e"]]) for x in r["spans"]}
+        hits, wrong, missed = hits + len(got & set(want)), wrong + len(got - set(want)), missed + len(set(want) - got)
+        kinds |= {k for k, _ in got & set(want)}
+    assert kinds == set(pii_boost.KINDS)
+    assert hits / (hits + wrong) >= 0.9 and hits / (hits + missed) >= 0.9, (hits, wrong, missed)
+
+
 def test_long_secrets(spark):
     r = np.random.default_rng(4)
     chars = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"))
