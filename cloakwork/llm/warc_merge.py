@@ -5,7 +5,8 @@ the one with the smallest id is a response and the others revisit it.  index_run
 reads archives back, checks payload digests and leaves locally sorted runs of index
 lines.  merge_runs() merges runs with loser trees by URL key and time: key ranges taken
 from a bounded sample of the runs are merged side by side, at most FAN_IN runs at a
-time, and every range reads only its own slice of each run by binary search.
+time, and every range reads only its own slice of each run by binary search.  Levels of
+a merge of many runs are split by key ranges like the last one.
 
 Archives and runs lie in the folder that driver and executors share.  A task names its
 files afresh and reports them with its result, so files of lost attempts are ignored.
@@ -91,7 +92,9 @@ def first_captures(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         F.col("page_id").alias("id"), F.sha1(body).alias("sha"), F.length(body).alias("n"), F.col("url").alias("url")
     ).where(F.col("id").isNotNull() & (F.col("n") >= min_bytes))
     least = rows.groupBy("sha", "n").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1")
-    later = rows.join(least.select("sha", "n", "first"), ["sha", "n"]).where("id <> first")
+    # written, so that the join can split the records of a payload that very many share
+    least = materialize(least.select("sha", "n", "first"), "warc-firsts")
+    later = rows.join(least, ["sha", "n"]).where("id <> first")
     return later.select("id", "sha", "first").distinct()
 
 
@@ -339,51 +342,68 @@ def _write_run(name: str, rows: Iterator[tuple]) -> int:
     return n
 
 
-def _bounds(runs: DataFrame, lines: int) -> list[tuple]:
-    """Range boundaries from at most SAMPLE_KEYS sampled lines."""
+def _keys(runs: DataFrame) -> list[tuple]:
+    """Sampled order keys of the runs, sorted: some SAMPLE_KEYS at most, whatever the input."""
     n = runs.count()
     rows = runs if n <= SAMPLE_KEYS else runs.orderBy(F.xxhash64("run")).limit(SAMPLE_KEYS)
-    keys = sorted(_order(_row(bytes(k))) for r in rows.select("keys").collect() for k in r["keys"])
-    parts = max(1, min(len(keys), -(-lines // RANGE_LINES), 10_000))
-    return [keys[len(keys) * i // parts] for i in range(1, parts)] if keys else []
+    return sorted(_order(_row(bytes(k))) for r in rows.select("keys").collect() for k in r["keys"])
+
+
+def _edge(keys: list[tuple], i: int, ranges: int) -> tuple | None:
+    """Lower bound of range i; where a range is split, its first part starts at the same key."""
+    return keys[len(keys) * i // ranges] if keys and 0 < i < ranges else None
+
+
+def _split(parts: DataFrame, by: list[str], times: int) -> DataFrame:
+    """A row (by..., names, into) for each of times equal shares of the range r."""
+    rows = parts.groupBy(*by).agg(F.collect_list("name").alias("names"))
+    return rows.withColumn("into", F.explode(F.expr(f"sequence(r * {times}L, r * {times}L + {times - 1}L)")))
 
 
 def merge_runs(spark: SparkSession, runs: DataFrame) -> DataFrame:
-    """COLUMNS plus range and place: captures in global order of range, then place."""
+    """COLUMNS plus range and place: captures in global order of range, then place.
+
+    While there are more than FAN_IN runs, groups of them become one run each.  A level
+    is split by ranges too: a merged run is a file for each range, and each level has
+    FAN_IN times the ranges of the one before, so a task always writes about as many
+    lines as a first run has.
+    """
     importable(spark)
-    while True:
-        total = runs.agg(F.sum("lines").alias("n"), F.count("*").alias("c")).first()
-        lines, count = total["n"] or 0, total["c"]
-        bounds = _bounds(runs, lines)
-        if count <= FAN_IN:
-            break
-        # one more level: groups of FAN_IN runs become one run each
+    total = runs.agg(F.sum("lines").alias("n"), F.count("*").alias("c")).first()
+    lines, count, ranges = total["n"] or 0, total["c"], 1
+    keys = _keys(runs)
+    parts = runs.select("run", F.lit(0).cast("long").alias("r"), F.col("run").alias("name"))
+    while count > FAN_IN:
         where = new_path(spark, "cdx")
-        groups = -(-count // FAN_IN)
-        grouped = runs.select("run", "lines", "keys", F.pmod(F.xxhash64("run"), F.lit(groups)).alias("g"))
-        grouped = grouped.groupBy("g").agg(F.collect_list("run").alias("names"), F.flatten(F.collect_list("keys")).alias("keys"))
+        groups, ranges = -(-count // FAN_IN), ranges * FAN_IN
+        jobs = _split(parts.withColumn("g", F.pmod(F.xxhash64("run"), F.lit(groups))), ["g", "r"], FAN_IN)
 
-        def level(batches: Iterator[pa.RecordBatch], where=where, keep=max(1, min(64, SAMPLE_KEYS // groups))) -> Iterator[pa.RecordBatch]:
+        def level(batches: Iterator[pa.RecordBatch], where=where, ranges=ranges) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for names, keys in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for g, i, names in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     name = f"{where}/{uuid.uuid4().hex}.cdx"
-                    n = _write_run(name, iter(LoserTree([_slice(r, None, None) for r in names])))
-                    keys = sorted(keys)[:: max(1, len(keys) // keep)][:keep]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name]), pa.array([n], pa.int64()), pa.array([keys], pa.list_(pa.binary()))],
-                        names=["run", "lines", "keys"],
-                    )
-
-        runs = materialize(grouped.repartition(groups, "g").select("names", "keys").mapInArrow(level, "run string, lines long, keys array<binary>"), "cdx-runs")
-    names = [r["run"] for r in runs.select("run").collect()]  # at most FAN_IN
-    edges = [None, *bounds, None]
-    jobs = spark.range(0, len(edges) - 1, 1, len(edges) - 1)
+                    lo, hi = _edge(keys, i, ranges), _edge(keys, i + 1, ranges)
+                    n = 0 if lo is not None and lo == hi else _write_run(name, iter(LoserTree([_slice(x, lo, hi) for x in names])))
+                    if n:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([str(g)]), pa.array([i], pa.int64()), pa.array([name])], names=["run", "r", "name"]
+                        )
+
+        todo = jobs.select("g", "into", "names").repartition(groups * FAN_IN, "g", "into")
+        parts = materialize(todo.mapInArrow(level, "run string, r long, name string"), "cdx-parts")
+        count = groups
+    times = max(1, min(-(-lines // (ranges * RANGE_LINES)), max(1, 10_000 // ranges)))
+    ranges *= times
+    jobs = _split(parts, ["r"], times).select("into", "names").repartition(max(1, min(ranges, 10_000)), "into")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = [c.split()[0] for c in COLUMNS.split(", ")]
         kinds = [pa.int64() if c.split()[1] == "long" else pa.string() for c in COLUMNS.split(", ")]
         for b in batches:
-            for i in b.column(0).to_pylist():
+            for i, names in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                lo, hi = _edge(keys, i, ranges), _edge(keys, i + 1, ranges)
+                if lo is not None and lo == hi:
+                    continue
                 held: list[tuple] = []
                 place = 0
 
@@ -395,7 +415,7 @@ def merge_runs(spark: SparkSession, runs: DataFrame) -> DataFrame:
                         names=[*fields, "range", "place"],
                     )
 
-                for row in LoserTree([_slice(r, edges[i], edges[i + 1]) for r in names]):
+                for row in LoserTree([_slice(x, lo, hi) for x in names]):
                     held.append(row)
                     place += 1
                     if len(held) >= 5000:
