@@ -352,15 +352,18 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
 
 
-def reject_unknown(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
+def reject_unknown(docs: DataFrame, lift: float = 1 / 15) -> DataFrame:
     """docs without those of no known language; columns and their values unchanged.
 
-    Without usable labels there is no model and nothing is known against a document: all stay.
+    A document stays if its score reaches chance, one over the number of languages, plus
+    lift of what is left to 1.  Without usable labels there is no model and nothing is known
+    against a document: all stay.
     """
     net = train(docs, ~held_out())
     if net is None:
         return docs
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     scored = predict(docs.select(row.alias("row"), F.col("text").alias("text")), net)
-    keep = (F.col("lang_pred") != "und") & (F.col("score") >= min_score)
+    chance = 1 / len(net.langs)
+    keep = (F.col("lang_pred") != "und") & (F.col("score") >= chance + lift * (1 - chance))
     return scored.where(keep).select("row.*")

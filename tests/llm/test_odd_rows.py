@@ -47,6 +47,9 @@ def test_decontaminate(spark, docs):
     got = decontam.decontaminate(odd(docs), odd(items))
     same(got, decontam.decontaminate(docs, items), NAMES)
     assert got.where("doc_id is null").count() == 1
+    # rows that share an id are judged by their texts
+    two = spark.createDataFrame([(7, "a line that many sites carry along"), (7, "nothing of the kind is here at all")], "doc_id long, text string")
+    assert [r["text"] for r in decontam.decontaminate(two, items).collect()] == ["nothing of the kind is here at all"]
 
 
 def test_keep_one(docs):
