@@ -34,6 +34,15 @@ IBAN_GATE = r"[A-Z]{2} ?[0-9]{2}(?: ?[A-Z0-9]){10}"
 NAME_GATE = r"[\p{Lu}\p{Lt}\p{Lo}]|https?://|www\.|@"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of few partitions dealt out to twice as many as there are cores; a larger one as it is.
+
+    Detection costs far more than moving a small table, and a file of one row group is one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def find_people(text: str, emails: list[Span], names: Dictionary, least: float, lex: Lexicons = DEFAULT) -> list[Span]:
     """All PERSON spans of a text: two passes over the tokens, variants, and addresses."""
     out = find_names(text, names, least, lex)

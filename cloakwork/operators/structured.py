@@ -149,7 +149,7 @@ def macs(t: str) -> str:
     parts = []
     for i, p in enumerate(MACS):
         guard = real if i < 2 else f"{real} and (x.m rlike '[A-Fa-f]' or {cue})"
-        parts.append(as_spans(keep(matches(t, p), guard), "MAC", "0.9D", "'mac'"))
+        parts.append(as_spans(keep(matches(t, p, "[0-9A-Fa-f][:.-][0-9A-Fa-f]"), guard), "MAC", "0.9D", "'mac'"))
     bare = suffix(matches(t, BARE_MAC, "(?i)mac"), BARE_MAC)
     parts.append(as_spans(keep(bare, real), "MAC", "0.85D", "'mac'"))
     return f"concat({', '.join(parts)})"

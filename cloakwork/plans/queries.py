@@ -33,6 +33,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, name: str = "documents", *cols: str) -> DataFrame:
+    """The columns of a table of texts, dealt out for detection."""
+    return d.spread(_table(spark, sf_dir, name).select(*(cols or ("doc_id", "text"))))
+
+
 def _spans(df: DataFrame, id_col: str, kinds: list[str], text_col: str = "text") -> DataFrame:
     out = d.detect(df.select(id_col, text_col), text_col, types=kinds, min_confidence=0.0)
     return out.select(id_col, F.explode("spans").alias("x")).select(
@@ -71,7 +76,7 @@ _CARD_RE = "[A-Za-z0-9_-]*(?: [0-9][A-Za-z0-9_-]*)*"
         select doc_id, s as start, s + length(m) as "end", 'EMAIL' as type, m as value from found"""
 )
 def detect_email(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spans(_table(spark, sf_dir, "documents"), "doc_id", ["EMAIL"])
+    return _spans(_texts(spark, sf_dir), "doc_id", ["EMAIL"])
 
 
 @query(
@@ -79,7 +84,7 @@ def detect_email(spark: SparkSession, sf_dir: str) -> DataFrame:
         select doc_id, s as start, s + length(m) as "end", 'IP' as type, m as value from found where {_IP_FILTER}"""
 )
 def detect_ipv4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spans(_table(spark, sf_dir, "documents"), "doc_id", ["IP"]).where("not value like '%:%'")
+    return _spans(_texts(spark, sf_dir), "doc_id", ["IP"]).where("not value like '%:%'")
 
 
 @query(
@@ -89,7 +94,7 @@ def detect_ipv4(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def detect_plain_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Card numbers without blanks or hyphens inside."""
-    rows = _spans(_table(spark, sf_dir, "documents"), "doc_id", ["CREDIT_CARD"])
+    rows = _spans(_texts(spark, sf_dir), "doc_id", ["CREDIT_CARD"])
     return rows.where("value rlike '^[0-9]+$'").drop("type")
 
 
@@ -99,18 +104,18 @@ def detect_plain_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         where not regexp_matches(substr(text, s, 1), '[A-Za-z0-9_+]') and not regexp_matches(substr(text, s + length(m) + 1, 1), '[A-Za-z0-9_]')"""
 )
 def detect_us_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _spans(_table(spark, sf_dir, "documents"), "doc_id", ["PHONE"])
+    rows = _spans(_texts(spark, sf_dir), "doc_id", ["PHONE"])
     return rows.where(r"value rlike '^[+]1 [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}$'").drop("type")
 
 
 @query()
 def detect_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spans(_table(spark, sf_dir, "documents"), "doc_id", ["PHONE"])
+    return _spans(_texts(spark, sf_dir), "doc_id", ["PHONE"])
 
 
 @query()
 def detect_credit_card(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spans(_table(spark, sf_dir, "documents"), "doc_id", ["CREDIT_CARD"])
+    return _spans(_texts(spark, sf_dir), "doc_id", ["CREDIT_CARD"])
 
 
 @query(
@@ -118,32 +123,32 @@ def detect_credit_card(spark: SparkSession, sf_dir: str) -> DataFrame:
         select page_id, s as start, s + length(m) as "end", 'EMAIL' as type, m as value from found"""
 )
 def detect_page_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spans(_table(spark, sf_dir, "pages"), "page_id", ["EMAIL"], "html")
+    return _spans(_texts(spark, sf_dir, "pages", "page_id", "html"), "page_id", ["EMAIL"], "html")
 
 
 @query()
 def detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every type, overlaps resolved."""
-    return _spans(_table(spark, sf_dir, "documents"), "doc_id", list(PII_TYPES))
+    return _spans(_texts(spark, sf_dir), "doc_id", list(PII_TYPES))
 
 
 @query(
     f"""select doc_id, regexp_replace(text, '{_EMAIL_RE}', '[EMAIL]', 'g') as sanitized from documents where text is not null"""
 )
 def redact_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null")
+    df = _texts(spark, sf_dir).where("text is not null")
     return d.redact(d.detect(df, types=["EMAIL"])).select("doc_id", "sanitized")
 
 
 @query()
 def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = d.sanitize(_table(spark, sf_dir, "documents").select("doc_id", "text"), mode="redact")
+    out = d.sanitize(_texts(spark, sf_dir), mode="redact")
     return out.select("doc_id", "sanitized", F.size("spans").alias("n_spans"))
 
 
 @query()
 def pseudonymize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = d.sanitize(_table(spark, sf_dir, "documents").select("doc_id", "text"), mode="pseudonymize")
+    out = d.sanitize(_texts(spark, sf_dir), mode="pseudonymize")
     return out.select("doc_id", "sanitized", F.size("spans").alias("n_spans"))
 
 
@@ -154,7 +159,7 @@ def pseudonymize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                '[EMAIL_' || dense_rank() over (partition by doc_id order by f.s) || ']' as placeholder from firsts"""
 )
 def mapping_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    df = _texts(spark, sf_dir)
     return d.mapping_rows(d.detect(df, types=["EMAIL"]), "doc_id")
 
 
@@ -167,14 +172,14 @@ def mapping_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def span_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-mail and IPv4 spans by language, source and type."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = _texts(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     out = d.detect(docs, types=["EMAIL", "IP"]).select("lang", "source", F.explode("spans").alias("x"))
     return out.where("not x.text like '%:%'").groupBy("lang", "source", "x.type").agg(F.count("*").alias("n"))
 
 
 @query()
 def document_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = d.detect(_table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null"))
+    df = d.detect(_texts(spark, sf_dir).where("text is not null"))
     return d.segments(df).select("doc_id", F.posexplode("segments").alias("n", "x")).select("doc_id", "n", "x.*")
 
 
@@ -257,7 +262,7 @@ _TOKENS = r"""words as (select doc_id, unnest(regexp_extract_all(text, '[\p{L}\p
 
 @query(f"with {_TOKENS} select doc_id, count(*) as n_tokens, count(distinct word) as n_distinct from tokens group by doc_id")
 def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = d.word_table(_table(spark, sf_dir, "documents"), "doc_id")
+    words = d.word_table(_texts(spark, sf_dir), "doc_id")
     return words.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.countDistinct("text").alias("n_distinct"))
 
 
@@ -266,7 +271,7 @@ def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         from tokens group by 1"""
 )
 def script_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = d.word_table(_table(spark, sf_dir, "documents"), "doc_id")
+    words = d.word_table(_texts(spark, sf_dir), "doc_id")
     return words.groupBy(F.when(F.col("script") == "Latin", "Latin").otherwise("other").alias("script")).agg(F.count("*").alias("n"))
 
 
@@ -321,7 +326,7 @@ def dict_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         from tokens join dict on lower(word) = name group by tier"""
 )
 def token_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = d.word_table(_table(spark, sf_dir, "documents"), "doc_id").select("script", F.lower("text").alias("word"))
+    words = d.word_table(_texts(spark, sf_dir), "doc_id").select("script", F.lower("text").alias("word"))
     found = namedb.token_tiers(words, namedb.build_dictionary(_names(spark, sf_dir)))
     return found.groupBy("tier").agg(F.count("*").alias("n"), F.countDistinct("word").alias("words"))
 
