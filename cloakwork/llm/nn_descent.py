@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, importable, materialize
+from .common import broadcast_if_small, drop_path, importable, materialize
 from .components import connected_components
 
 #: Neighbours in a list.
@@ -54,6 +54,8 @@ ATTEMPTS = 3
 FLOOR = 0.7
 #: Members of a bucket or of a component compared at a time.
 BLOCK = 1024
+#: Blocks of a component that would fill one.
+SPLIT = 4
 #: Vertices audited; the next number is taken if fewer than AUDIT_LINKED of them have links.
 AUDIT, AUDIT_LINKED = (2048, 16384), 64
 
@@ -299,7 +301,7 @@ class NearVectors:
         keys = own.select("v", "g", "vec", "bits", "tables").mapInArrow(
             _tables(attempt, self.seed), "v long, g long, t int, code int"
         )
-        keys = materialize(keys, "nn-keys")
+        table = keys = materialize(keys, "nn-keys")
         bucket = ["g", "t", "code"]
         large = keys.groupBy(*bucket).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
         large = materialize(large.select(*bucket, F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")), "nn-large")
@@ -310,7 +312,10 @@ class NearVectors:
         keys = keys.withColumn("task", F.concat_ws(":", *bucket, "lo", "hi"))
         met = keys.join(self.vertices.select("v", "vec"), "v").select("task", "lo", "hi", "blk", "v", "vec")
         met = met.repartition("task").sortWithinPartitions("task")
-        return materialize(met.mapInArrow(_meet(self.threshold), "u long, v long, sim double"), "nn-met")
+        out = materialize(met.mapInArrow(_meet(self.threshold), "u long, v long, sim double"), "nn-met")
+        drop_path(table)
+        drop_path(large)
+        return out
 
     def _top(self, listed: DataFrame) -> DataFrame:
         """The best LIST entries of each u, old entries first among equals."""
@@ -336,7 +341,8 @@ class NearVectors:
             found = near.mapInArrow(_local_join, "u long, v long, sim double")
             found = found.groupBy("u", "v").agg(F.max("sim").alias("sim"))
             merged = graph.withColumn("fresh", F.lit(False)).unionByName(found.withColumn("fresh", F.lit(True)))
-            graph = materialize(self._top(merged), "nn-graph")
+            done, graph = graph, materialize(self._top(merged), "nn-graph")
+            drop_path(done)
         return graph
 
     def _links(self, graph: DataFrame, joins: DataFrame) -> None:
@@ -351,7 +357,10 @@ class NearVectors:
         v = self.vertices
         inside = comp.join(dense, "component").join(v.select("v", "vec", "m"), "v")
         # a bounded block for each hash bucket of a component
-        sizes = inside.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+        n = F.count("*")
+        # a component of some hundred vertices is dealt to several tasks too
+        nb = F.greatest(F.ceil(n / BLOCK), F.least(F.lit(SPLIT), F.ceil(n * SPLIT / BLOCK)))
+        sizes = inside.groupBy("component").agg(nb.cast("int").alias("nb"))
         inside = inside.join(sizes, "component").withColumn("blk", F.pmod(F.xxhash64("v"), F.col("nb")).cast("int"))
         met = inside.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
         met = met.withColumn("lo", F.least("blk", "other")).withColumn("hi", F.greatest("blk", "other"))
