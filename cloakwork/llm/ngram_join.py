@@ -35,6 +35,7 @@ repeated results; equal texts are one vertex; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from fractions import Fraction
 from math import ceil, floor
@@ -53,7 +54,7 @@ SKETCH = 8
 #: Fragments in which overlaps are counted.
 COUNT_FRAGMENTS = 4
 #: Times that buckets compare their members with one leader before all are compared.
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
 #: Fragments shared by rows that may be broadcast: one long each, some 30 MB as a hash table.
 MET_ROWS = 1_000_000
 #: Vertices that may be broadcast to the texts: five longs each, some 50 MB as a hash table.
@@ -253,17 +254,16 @@ class NgramJoin:
         )
         self.edges: DataFrame | None = None
 
-    def _closer(self, pairs: DataFrame, wide: DataFrame) -> DataFrame:
-        """pairs without those of two long sets that their wide sketches tell apart."""
-        both = F.least("na", "nb") > WIDE_FROM
-        long_ = pairs.where(both).join(wide.select(F.col("v").alias("a"), F.col("wide").alias("wa")), "a")
-        long_ = long_.join(wide.select(F.col("v").alias("b"), F.col("wide").alias("wb")), "b")
+    def _near(self) -> str:
+        """SQL condition that wide sketches wa, wb of two long sets do not tell them apart."""
         # a sketch of twice the length is folded; lengths that differ more are left to the exact count
         half = "zip_with(slice({0}, 1, size({1})), slice({0}, size({1}) + 1, size({1})), (x, y) -> x ^ y)"
         fold = "if(size({0}) > size({1}), " + half + ", {0})"
         odd = f"aggregate(zip_with({fold.format('wa', 'wb')}, {fold.format('wb', 'wa')}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
-        near = f"greatest(size(wa), size(wb)) > 2 * least(size(wa), size(wb)) or {odd} * {self.num} <= {self.den - self.num} * least(na, nb)"
-        return pairs.where(~both).unionByName(long_.where(near).drop("wa", "wb"))
+        return (
+            f"least(na, nb) <= {WIDE_FROM} or greatest(size(wa), size(wb)) > 2 * least(size(wa), size(wb))"
+            f" or {odd} * {self.num} <= {self.den - self.num} * least(na, nb)"
+        )
 
     def _verified(self, pairs: DataFrame, segs: DataFrame) -> DataFrame:
         """pairs (a, b, na, nb) of which the summed partial overlaps reach the threshold."""
@@ -331,8 +331,9 @@ class NgramJoin:
         info = materialize(
             members.select("v").distinct().join(alive.select("v", "n"), "v").join(sketches, "v"), "ngram-info"
         )
-        left = info.select([F.col(c).alias("a" if c == "v" else c) for c in info.columns]).alias("l")
-        right = info.select([F.col(c).alias("b" if c == "v" else c) for c in info.columns]).alias("r")
+        more = materialize(info.join(wide, "v"), "ngram-wide")
+        left = more.select([F.col(c).alias({"v": "a", "wide": "wa"}.get(c, c)) for c in more.columns]).alias("l")
+        right = more.select([F.col(c).alias({"v": "b", "wide": "wb"}.get(c, c)) for c in more.columns]).alias("r")
 
         comp: DataFrame | None = None
         edges: DataFrame | None = None
@@ -347,7 +348,7 @@ class NgramJoin:
                 pairs = m.join(lead, "sig").where("v <> a and c <> ca").select("a", F.col("v").alias("b")).distinct()
                 ok = F.expr(_far_apart("l", "r", self.num, self.den))
                 pairs = pairs.join(left, "a").join(right, "b").where(ok)
-                pairs = pairs.select("a", "b", F.col("l.n").alias("na"), F.col("r.n").alias("nb"))
+                pairs = pairs.select("a", "b", F.col("l.n").alias("na"), F.col("r.n").alias("nb"), "wa", "wb")
             else:
                 full = m.join(info, "v")
                 x, y = full.alias("x"), full.alias("y")
@@ -355,14 +356,14 @@ class NgramJoin:
                 pairs = x.join(y, ok).select(
                     F.col("x.v").alias("a"), F.col("y.v").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")
                 )
-                pairs = pairs.distinct()
-            pairs = materialize(pairs, "ngram-pairs")
-            close = materialize(self._closer(pairs, wide), "ngram-close")
+                pairs = pairs.distinct().join(left.select("a", "wa"), "a").join(right.select("b", "wb"), "b")
+            close = pairs.where(self._near()).select("a", "b", "na", "nb")
             found = materialize(self._verified(close, segs), "ngram-links")
-            drop_path(pairs)
             edges = found if edges is None else edges.unionByName(found)
-            if turn == 1 or found.limit(1).count():
-                comp = materialize(connected_components(edges), "ngram-components")
+            if comp is None or found.limit(1).count():
+                # components so far are stars, which are soon joined by a few more links
+                stars = [] if comp is None else [comp.select(F.col("v").alias("a"), F.col("component").alias("b"))]
+                comp = materialize(connected_components(functools.reduce(DataFrame.unionByName, stars, found)), "ngram-components")
         self.edges = edges
         # vertices are numbered anew in each run; the component goes by its least document
         final = classes.join(comp, "v", "left").select("d1", "d2", "rep", F.coalesce("component", "v").alias("c"))

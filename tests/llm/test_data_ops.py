@@ -23,6 +23,15 @@ def test_word_ids_are_text_ids(text):
     assert np.frombuffer(tok[1].ids(text), "<u4").tolist() == tok[0].encode(text, add_special_tokens=False).ids
 
 
+def test_other_tokenizers_read_whole_texts():
+    """A file without the properties that encoding by words rests on."""
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    tok, want = cutting_stock.WordTokenizer(other), Tokenizer.from_file(other)
+    assert cutting_stock.WordTokenizer(PATH).by_words and not tok.by_words
+    for text in ("Hello  World's\n\tHELLO é 12", "", None, " x"):
+        assert np.frombuffer(tok.ids(text), "<u4").tolist() == want.encode(text or "", add_special_tokens=False).ids
+
+
 def test_packing(spark, words):
     rows = [(i, words.text(words.r.randint(0, 2500))) for i in range(150)] + [(200, None), (201, ""), (202, words.text(30_000)), (5, "twice")]
     df = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, length int")
