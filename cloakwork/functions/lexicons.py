@@ -7,7 +7,8 @@ extended by data.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Iterable
+from dataclasses import dataclass, field, replace
 
 
 def _set(text: str) -> frozenset[str]:
@@ -162,5 +163,13 @@ class Lexicons:
     url_words: frozenset[str] = URL_WORDS
     top_domains: frozenset[str] = TOP_DOMAINS
 
+    def extended(self, **more: Iterable[str]) -> Lexicons:
+        """These lists plus words, lower-cased, by name of the list; cities also get their umlauts spelled out."""
+        new = {}
+        for name, words in more.items():
+            added = frozenset(w.lower() for w in words)
+            new[name] = getattr(self, name) | (spelled_out(added) if name == "cities" else added)
+        return replace(self, **new)
+
 
 DEFAULT = Lexicons()

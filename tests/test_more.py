@@ -7,7 +7,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 import cloakwork
-from cloakwork.functions.lexicons import COUNTRIES, TITLES
+from cloakwork.functions.lexicons import COUNTRIES, TITLES, Lexicons
 from cloakwork.functions.text import SURNAME_SPELLINGS, hangul_spellings
 from cloakwork.operators import detect as d
 from cloakwork.operators import evaluate, external, mapping_view, namedb
@@ -107,3 +107,5 @@ def test_evaluation(spark, tmp_path):
 def test_word_lists():
     """The fixed lists are whole, and disjoint from what they must not hold."""
     assert "dr" in TITLES and "france" in COUNTRIES and not TITLES & COUNTRIES
+    more = Lexicons().extended(cities=["Görlitz"], openers=["Hence"])
+    assert {"görlitz", "goerlitz", "paris"} - more.cities == {"paris"} - Lexicons().cities and "hence" in more.openers
