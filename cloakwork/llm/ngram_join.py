@@ -295,7 +295,7 @@ class NgramJoin:
             return members.withColumn("c", F.col("v"))
         m = members.join(comp, "v", "left").select("sig", "v", F.coalesce("component", "v").alias("c"))
         open_ = m.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
-        return materialize(m.join(materialize(open_, "ngram-open-sigs"), "sig", "left_semi"), "ngram-open")
+        return materialize(m.join(open_, "sig", "left_semi"), "ngram-open")
 
     def run(self) -> DataFrame:
         """(doc_id, text_hash, n_shingles, component_id, best): best is the least (doc_id, text_hash) of the component."""
@@ -308,8 +308,7 @@ class NgramJoin:
         )
         classes = self._vertices(described)
         alive = self._alive(described, classes)
-        slim = materialize(described.drop("probe"), "ngram-slim")
-        drop_path(described)
+        slim = described.drop("probe")
 
         wanted = alive.select(
             "v", "d1", "d2", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_hash").alias("text_hash")
@@ -328,10 +327,9 @@ class NgramJoin:
         met = rows.groupBy("sig").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo <> hi").select("sig")
         met = materialize(met, "ngram-met")
         members = materialize(rows.join(broadcast_if_small(met, limit=MET_ROWS), "sig", "left_semi"), "ngram-members")
-        info = materialize(
-            members.select("v").distinct().join(alive.select("v", "n"), "v").join(sketches, "v"), "ngram-info"
-        )
-        more = materialize(info.join(wide, "v"), "ngram-wide")
+        more = members.select("v").distinct().join(alive.select("v", "n"), "v").join(sketches, "v").join(wide, "v")
+        more = materialize(more, "ngram-info")
+        info = more.drop("wide")
         left = more.select([F.col(c).alias({"v": "a", "wide": "wa"}.get(c, c)) for c in more.columns]).alias("l")
         right = more.select([F.col(c).alias({"v": "b", "wide": "wb"}.get(c, c)) for c in more.columns]).alias("r")
 
