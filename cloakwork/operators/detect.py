@@ -130,10 +130,12 @@ def _wanted(types: Iterable[str] | None) -> frozenset[str]:
     return want
 
 
-def _structured(df: DataFrame, text_col: str, want: frozenset[str], drop: Iterable[str] = ()) -> tuple[DataFrame, dict[str, list[str]]]:
-    """df with its text in normal form and a column of spans for each detector; type -> columns."""
+def _structured(
+    df: DataFrame, text_col: str, want: frozenset[str], drop: Iterable[str] = (), as_is: bool = False
+) -> tuple[DataFrame, dict[str, list[str]]]:
+    """df with its text in normal form, or as it is, and a column of spans for each detector; type -> columns."""
     keep = [c for c in df.columns if c not in drop]
-    cols = [normalize(F.col(c)).alias(c) if c == text_col else F.col(c) for c in keep]
+    cols = [normalize(F.col(c)).alias(c) if c == text_col and not as_is else F.col(c) for c in keep]
     run = [n for n, (kind, _) in DETECTORS.items() if kind in want]
     built = {f"_{n.lower()}": F.expr(detector_sql(n, f"`{text_col}`")) for n in run}
     if "PERSON" in want:
@@ -167,16 +169,18 @@ def detect(
     extra_spans: str | None = None,
     lexicons: Lexicons = DEFAULT,
     out_col: str = "spans",
+    as_is: bool = False,
 ) -> DataFrame:
     """df with its text in normal form C and out_col, the spans found in it.
 
     types restricts what is looked for; detectors of other types do not run.  names is
     a dictionary (script, tier, name).  extra_spans names an array column of spans
-    from elsewhere.  A null text has no spans.
+    from elsewhere.  A null text has no spans.  as_is leaves the text as it stands, and
+    offsets are those in it.
     """
     want = _wanted(types)
     deep = want & {"IBAN", "PERSON"}
-    out, by_kind = _structured(df, text_col, want, [out_col])
+    out, by_kind = _structured(df, text_col, want, [out_col], as_is)
     keep = [c for c in df.columns if c != out_col]
     if deep:
         lookup = df.sparkSession.sparkContext.broadcast(to_lookup(names) if "PERSON" in want else None)

@@ -38,8 +38,8 @@ def _texts(spark: SparkSession, sf_dir: str, name: str = "documents", *cols: str
     return d.spread(_table(spark, sf_dir, name).select(*(cols or ("doc_id", "text"))))
 
 
-def _spans(df: DataFrame, id_col: str, kinds: list[str], text_col: str = "text") -> DataFrame:
-    out = d.detect(df.select(id_col, text_col), text_col, types=kinds, min_confidence=0.0)
+def _spans(df: DataFrame, id_col: str, kinds: list[str], text_col: str = "text", as_is: bool = False) -> DataFrame:
+    out = d.detect(df.select(id_col, text_col), text_col, types=kinds, min_confidence=0.0, as_is=as_is)
     return out.select(id_col, F.explode("spans").alias("x")).select(
         id_col, F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end"), "x.type", F.col("x.text").alias("value")
     )
@@ -104,7 +104,8 @@ def detect_plain_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         where not regexp_matches(substr(text, s, 1), '[A-Za-z0-9_+]') and not regexp_matches(substr(text, s + length(m) + 1, 1), '[A-Za-z0-9_]')"""
 )
 def detect_us_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _spans(_texts(spark, sf_dir), "doc_id", ["PHONE"])
+    """US numbers in print; offsets are those of the stored text, whatever its normal form."""
+    rows = _spans(_texts(spark, sf_dir), "doc_id", ["PHONE"], as_is=True)
     return rows.where(r"value rlike '^[+]1 [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}$'").drop("type")
 
 

@@ -1,8 +1,10 @@
 """Structured detectors on sentences beyond those of plans/golden.py: every expected span, and none else of its type."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from cloakwork.operators import detect as d
+from cloakwork.plans import queries
 
 CASES = [
     ("EMAIL", "x.y-z%1@a.b.c.example.com", ["x.y-z%1@a.b.c.example.com"]),
@@ -77,3 +79,49 @@ def test_long_inputs(spark):
     df = spark.createDataFrame([(t,) for t in hostile], "text string")
     assert d.detect(df).select(F.size("spans")).count() == len(hostile)
     d.detect(df).agg(F.sum(F.size("spans"))).collect()
+
+
+def test_us_phones_beside_numbers(spark, tmp_path):
+    """A whole US number is found whatever stands beside it, as the SQL of detect_us_phones has it."""
+    us = "+1 (826) 555-4081"
+    cases = [
+        (f"Des {us} 190.137.223.204 du", [us, "190.137.223.204"]),
+        (f"whor to {us} 4524132264652876 and", [us]),
+        (f"{us} 12 left", [us]),
+        (f"{us} 0221-555-0199 and {us}.{us}/{us}", [us, "0221-555-0199", us, us, us]),
+        (f"{us}(212) 555-0199", [us, "(212) 555-0199"]),
+        (f"12 345 678 {us}", ["12 345 678", us]),
+        (f"# {us}, tel-{us} or {us}-home, {us}-1", [us, us, us, us]),
+        (f"a{us}, _{us}, +{us}, 1{us}", ["(826) 555-4081"] * 4),
+        (f"\U0001f4de é {us} 4524132264652876\n{us}", [us, us]),
+        ("+1 (826) 555-40812 and +1 (826) 555-4081x", ["+1 (826) 555-40812"]),
+        ("Bay #5550123-7 and AB-5550-123456-X", []),
+        ("", []),
+        (None, []),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: [s["text"] for s in r["spans"]] for r in d.detect(df, types=["PHONE"]).collect()}
+    assert got == {i: w for i, (_, w) in enumerate(cases)}
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(queries.ORACLES["detect_us_phones"]).fetchall()
+    rows = queries.detect_us_phones(spark, str(tmp_path)).select("doc_id", "start", "end", "value").collect()
+    assert sorted(map(tuple, rows)) == sorted(want) and len(want) == 15
+
+
+def test_us_phones_as_stored(spark, tmp_path):
+    """Texts that are not in normal form C have the offsets that the SQL gives."""
+    us = "+1 (826) 555-4081"
+    texts = [f"e\u0301le\u0300ve {us} 12", f"A\u030a {us}, e\u0301 {us}", f"\u212a{us}", f"{us}e\u0301", f"e\u0301{us}", f"\u1100\u1161 {us}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.detect_us_phones(spark, str(tmp_path)).select("doc_id", "start", "end", "value").collect()
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(queries.ORACLES["detect_us_phones"]).fetchall()
+    assert sorted(map(tuple, rows)) == sorted(want) and len(want) == 6
+    assert all(texts[i][s:e] == v for i, s, e, v in rows)
+    # by default offsets stay those of the normal form
+    first = d.detect(df, types=["PHONE"]).where("doc_id = 0").first()
+    assert [(s["start"], s["text"]) for s in first["spans"]] == [(6, us)] and first["text"][6:23] == us
